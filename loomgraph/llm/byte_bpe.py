@@ -21,7 +21,8 @@ class ByteLevelEncoder:
     """Encodes as the tokenizers library does with the given file and add_special_tokens=False.
 
     Words come from array passes over the whole batch; every distinct word is merged once. Texts
-    that hold one of the file's added tokens are rare and go through the library itself.
+    that hold one of the file's added tokens, or code points that Unicode versions class otherwise, are
+    rare and go through the library itself.
     """
 
     def __init__(self, path: str):
@@ -50,7 +51,8 @@ class ByteLevelEncoder:
         for a, b in kernels.chunks(texts):
             part = texts[a:b]
             odd = {i for i, t in enumerate(part) if any(x in t for x in self.added)}
-            ids, counts = splitting.encoded(["" if i in odd else t for i, t in enumerate(part)] if odd else part, splitting.byte_level_spans, self.words)
+            ids, counts, doubtful = splitting.encoded(["" if i in odd else t for i, t in enumerate(part)] if odd else part, splitting.byte_level_spans, self.words)
+            odd |= doubtful
             ends = np.cumsum(counts)
             for i, (s, e) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
                 yield np.array(self.library.encode(part[i], add_special_tokens=False).ids, dtype=np.uint32) if i in odd else ids[s:e]

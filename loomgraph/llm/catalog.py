@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import common, packing, sharding
+from loomgraph.llm import common, packing, sharding, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op10_ring_sharding(spark, sf_dir):
 
     placed = sharding.sharded_documents(common.documents(spark, sf_dir), shards=16, vnodes=128, slack=0.0)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_pair_index_bpe(spark, sf_dir):
+    return word_bpe.digests(common.documents(spark, sf_dir), WORD_TOKENIZER)

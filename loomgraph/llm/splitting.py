@@ -3,32 +3,30 @@
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
-import regex
 
 from loomgraph.llm import kernels
 
-OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
+OTHER, LETTER, NUMBER, SPACE, EDGE, DOUBTFUL = range(6)
 #: Stands between texts; it is no code point, so no word crosses it.
 SENTINEL = 0x110000
 
 
+WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
 @functools.lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """The class of every code point under \\p{L}, \\p{N} and \\s."""
-    table = np.full(SENTINEL + 1, OTHER, dtype=np.uint8)
-    points = "".join(chr(c) for c in range(SENTINEL) if not 0xD800 <= c < 0xE000)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, points):
-            run = m[0]
-            for c in run if len(run) < 64 else ():
-                table[ord(c)] = kind
-            if len(run) >= 64:
-                table[np.frombuffer(run.encode("utf-32-le"), dtype=np.uint32)] = kind
-    table[SENTINEL] = EDGE
-    return table
+    """The class of every code point under \\p{L}, \\p{N} and \\s; DOUBTFUL where it is unassigned
+    here, so that another Unicode version may class it otherwise."""
+    kinds = {"L": LETTER, "N": NUMBER, "Cn": DOUBTFUL}
+    names = [unicodedata.category(chr(c)) for c in range(SENTINEL)]
+    table = np.fromiter((kinds.get(x, kinds.get(x[0], OTHER)) for x in names), dtype=np.uint8, count=SENTINEL)
+    table[WHITE] = SPACE
+    return np.append(table, np.uint8(EDGE))
 
 
 def layout(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +46,9 @@ def _suffix_lengths(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(one, 1, np.where(two, 2, 0))
 
 
-def byte_level_spans(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def byte_level_spans(cp: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the byte-level pattern: runs of a class with at most one blank before them,
     English contractions, and white space whose last character stays with what follows."""
-    kind = classes()[cp]
     n = len(cp)
     start = np.ones(n + 1, dtype=bool)
     start[1:n] = kind[1:] != kind[:-1]
@@ -78,9 +75,8 @@ def byte_level_spans(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[keep], end[keep]
 
 
-def word_level_spans(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_level_spans(cp: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the word-level pattern: contractions, letters, single digits, other runs; white space goes."""
-    kind = classes()[cp]
     n = len(cp)
     start = np.ones(n + 1, dtype=bool)
     start[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
@@ -137,12 +133,15 @@ class WordTable:
         return self.starts[at], self.counts[at]
 
 
-def encoded(texts: list[str], spans: Callable, words: WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of ids of each text."""
+def encoded(texts: list[str], spans: Callable, words: WordTable) -> tuple[np.ndarray, np.ndarray, set[int]]:
+    """Ids of all texts one after another, the number of ids of each text, and which texts hold
+    doubtful code points, so that their ids may not be those of the library."""
     cp, bounds = layout(texts)
-    begin, end = spans(cp)
+    kind = classes()[cp]
+    doubtful = set(np.searchsorted(bounds, np.flatnonzero(kind == DOUBTFUL), side="right").tolist())
+    begin, end = spans(cp, np.where(kind == DOUBTFUL, np.uint8(OTHER), kind) if doubtful else kind)
     if not len(begin):
-        return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
+        return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64), doubtful
     keys, first, inverse = np.unique(kernels.span_hashes(cp, begin, end), return_index=True, return_inverse=True)
     data = cp.tobytes()
 
@@ -156,4 +155,4 @@ def encoded(texts: list[str], spans: Callable, words: WordTable) -> tuple[np.nda
     # words of a text lie between its bounds
     cut = np.searchsorted(begin, bounds)
     ends = np.concatenate(([0], np.cumsum(counts)))[cut]
-    return ids, np.diff(np.concatenate(([0], ends)))
+    return ids, np.diff(np.concatenate(([0], ends))), doubtful
