@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import common, packing, sharding, word_bpe
+from loomgraph.llm import common, line_dedup, media, near_dup, packing, quality, sharding, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,8 +29,6 @@ def op1_best_fit_packing(spark, sf_dir):
 
 @query
 def op10_ring_sharding(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     placed = sharding.sharded_documents(common.documents(spark, sf_dir), shards=16, vnodes=128, slack=0.0)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -37,3 +36,31 @@ def op10_ring_sharding(spark, sf_dir):
 @query
 def op2_pair_index_bpe(spark, sf_dir):
     return word_bpe.digests(common.documents(spark, sf_dir), WORD_TOKENIZER)
+
+
+@query
+def op9_near_duplicates(spark, sf_dir):
+    """Word 3-shingles at 0.85; a pair at the threshold is missed with probability (1 - 0.85**5)**32 < 1e-8."""
+    return near_dup.classes(common.documents(spark, sf_dir), k=3, percent=85, bands=32, rows=5)
+
+
+@query
+def op3_gif_media(spark, sf_dir):
+    return media.digests(common.documents(spark, sf_dir))
+
+
+@query
+def op4_line_dedup(spark, sf_dir):
+    kept = line_dedup.without_repeats(common.documents(spark, sf_dir), min_chars=20, min_docs=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op4_line_dedup"] = line_dedup.ORACLE
+
+
+@query
+def op8_quality_nbsvm(spark, sf_dir):
+    """Fitted on at most 8,000 labelled rows outside the held-out quarter."""
+    labels = common.table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
+    scored = quality.scored(common.documents(spark, sf_dir).select("doc_id", "text"), labels, sample=8000)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

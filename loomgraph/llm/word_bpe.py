@@ -20,11 +20,13 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import normalizers
 
 from loomgraph.llm import common, kernels, splitting
 from loomgraph.llm.byte_bpe import byte_symbols
 
 END = "</w>"
+NFC = normalizers.NFC()
 
 
 class Merges:
@@ -166,7 +168,9 @@ class WordLevelCodec:
         """NFC, then each character's own lower case (a sigma at a word's end is one like others)."""
         if text.isascii():
             return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not unicodedata.is_normalized("NFC", text):  # the library's own tables decide what it composes
+            text = NFC.normalize_str(text)
+        return text.replace("Σ", "σ").lower()
 
     def encode(self, texts: list[str]):
         """Yields the ids of each text; texts with an added token or a doubtful code point go through the library."""
