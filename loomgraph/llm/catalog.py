@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, line_dedup, media, near_dup, packing, quality, sharding, word_bpe
+from loomgraph.llm import ann, common, line_dedup, media, near_dup, packing, pii, quality, sharding, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,15 @@ def op8_quality_nbsvm(spark, sf_dir):
     labels = common.table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
     scored = quality.scored(common.documents(spark, sf_dir).select("doc_id", "text"), labels, sample=8000)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_pii_pseudonyms(spark, sf_dir):
+    docs = pii.pseudonymised(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"))
+
+
+@query
+def op7_ivf_pq_neighbours(spark, sf_dir):
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
