@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, common, line_dedup, media, near_dup, packing, pii, quality, sharding, word_bpe
+from loomgraph.llm import ann, common, line_dedup, media, near_dup, packing, pii, quality, sharding, span_dedup, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op6_pii_pseudonyms(spark, sf_dir):
 def op7_ivf_pq_neighbours(spark, sf_dir):
     vectors = common.table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query
+def op5_span_dedup(spark, sf_dir):
+    return span_dedup.without_repeats(common.documents(spark, sf_dir), window=100, with_text=False)

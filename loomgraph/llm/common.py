@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -23,15 +23,19 @@ def text_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there.
-
-    The folder is the one the cluster names in spark.checkpoint.dir; a local one is set only where
-    that is unset, as in tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names in spark.checkpoint.dir; a local one is set only where
+    that is unset, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it from there, so that what follows
+    survives the loss of any executor without going back further."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -56,5 +60,8 @@ def ranked(rows: DataFrame, key: str, salt: str, order: list[str | Column], into
     return rows.withColumn("_place", place.cast("long")).join(counts, [key, salt]).withColumn(into, F.col("_place") + F.col("before")).drop("_place", "before")
 
 
-def field(name: str, kind: T.DataType) -> T.StructField:
-    return T.StructField(name, kind, True)
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet to a new place in the shared checkpoint folder and reads it again."""
+    place = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
