@@ -9,9 +9,10 @@ the concentration of independent samples.
 Links: documents with equal sets become one class. Classes that agree in a whole band of their
 sketches are candidates. First each class of a bucket is compared with the bucket's least class, which
 makes one component of most groups of near copies. Buckets whose classes still belong to several
-components are then gone through block by block: of the pairs across components those that their
-sketches leave possible are kept. Every link is confirmed on the full sets, and none is left out: pairs
-within one component cannot change the result.
+components are then gone through group by group (classes connected by such buckets), in blocks: pairs
+across components that their sketches leave possible are compared on the full sets within the
+task, and only links that join components are given out. No link is left out that could change the
+result; pairs within one component cannot.
 
 Defined cases: a null or empty text has no shingles and no links; a null doc_id takes no part and is
 kept; rows with one doc_id are one document in links, each row with its own number of shingles; an
@@ -145,51 +146,64 @@ def _possible(pairs: DataFrame, sketched: DataFrame, percent: int, t: int) -> Da
     return pairs.join(right, "b").join(left, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, percent: int, t: int, block: int = 1024) -> DataFrame:
-    """Possible pairs (a, b) of different components within each bucket of (bucket, rep, component, sketch).
+def _across(members: DataFrame, percent: int, t: int, block: int = 512) -> DataFrame:
+    """Links (a, b) that join components within each group of (group, rep, component, sketch, set).
 
-    A bucket is cut into blocks by hash, of which every two meet as a group of their own, so a group has
-    about two blocks of rows however large its bucket is.
+    A group is cut into blocks by hash, of which every two meet on their own, so a task holds two
+    blocks of sets however large the group is. Pairs that the sketches leave possible are compared on
+    their sets right there, and only links that join two components leave the task.
     """
     least = least_share(percent, t) * t
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = met.select("bucket", "i", "j", "own", "rep", "component", "sketch").repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j")
+    dealt = met.select("group", "i", "j", "own", "rep", "component", "sketch", "set").repartition(F.col("group"), F.col("i"), F.col("j")).sortWithinPartitions("group", "i", "j")
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def links(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         group = pa.Table.from_batches(rows)
         rep, component, own = (group.column(c).to_numpy() for c in ("rep", "component", "own"))
+        component = component.copy()
         inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, t)
-        out_a, out_b = [], []
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("set").to_pylist()]
+        size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        found = []
         for x in range(len(rep)):
-            y = np.flatnonzero((component != component[x]) & (rep > rep[x]) & ((own != own[x]) | inner))
+            near = (component != component[x]) & (rep > rep[x]) & ((own != own[x]) | inner) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
+            y = np.flatnonzero(near)
             if len(y):
                 y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
-                out_a.append(np.full(len(y), rep[x]))
-                out_b.append(rep[y])
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([join(out_a), join(out_b)], ["a", "b"])
+            for part in range(0, len(y), 64):
+                z = y[part : part + 64]
+                other = np.concatenate([sets[i] for i in z])
+                at = np.minimum(np.searchsorted(sets[x], other), size[x] - 1)
+                ends = np.cumsum(size[z])
+                both = np.diff(np.concatenate(([0], np.cumsum(sets[x][at] == other)[ends - 1])))
+                for i in z[100 * both >= percent * (size[x] + size[z] - both)]:
+                    if component[i] != component[x]:
+                        found.append((rep[x], rep[i]))
+                        component[component == component[i]] = component[x]
+        a, b = (np.array(c, dtype=np.int64) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
         held, key = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            columns = [batch.column(c).to_numpy() for c in ("group", "i", "j")]
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
             for s, e in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
                 here = tuple(int(c[s]) for c in columns)
                 if held and here != key:
-                    yield pairs(held)
+                    yield links(held)
                     held = []
                 key = here
                 held.append(batch.slice(s, e - s))
         if held:
-            yield pairs(held)
+            yield links(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
@@ -223,9 +237,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
     labels = common.cut(_labels(wanted.select(F.col("doc_id").alias("rep")), links))
     labelled = members.select("bucket", "rep").join(labels, "rep")
     several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = labelled.join(several, "bucket").join(sketched, "rep")
-    across = _across(rest, percent, t).join(stars, ["a", "b"], "left_anti")
-    links = common.cut(links.unionByName(_linked(across, sets, percent)))
+    rest = common.cut(labelled.join(several, "bucket"))
+    # classes that share an unresolved bucket, directly or by further buckets, are one group
+    heads = rest.groupBy("bucket").agg(F.min("rep").alias("a"))
+    groups = components(rest.join(heads, "bucket").select("a", F.col("rep").alias("b")).where("a != b").distinct())
+    rest = rest.select("rep", "component").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
+    rest = rest.join(sketched, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    links = common.cut(links.unionByName(_across(rest, percent, t)))
     reps = _labels(by_set.select("rep"), links).join(by_set.select("f1", "f2", "rep"), "rep").select("f1", "f2", "component")
     out = narrow.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
