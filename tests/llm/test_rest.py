@@ -1,0 +1,147 @@
+import datetime
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+from brute_force import ODD, frame
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomgraph.llm import ann, catalog, common, pii, quality, sharding
+
+SF = "/root/testdata/sf0.001"
+KEY = b"a key of the tests"
+
+
+def test_sharding_query(spark):
+    rows = catalog.QUERIES["op10_ring_sharding"](spark, SF).collect()
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in docs.items()}
+    counts = Counter(r.shard for r in rows)
+    assert set(counts) == set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    for s in range(16):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
+
+
+def test_sharding_odd_documents(spark):
+    rows = sharding.sharded_documents(frame(spark, ODD), shards=4, vnodes=8).collect()
+    counts = Counter(r.shard for r in rows)
+    assert len(rows) == len(ODD) and max(counts.values()) - min(counts.values()) <= 1
+    assert sharding.sharded_documents(frame(spark, []), shards=4).count() == 0
+
+
+def test_overflow_goes_on_clockwise_and_more_shards_move_little():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(-(1 << 63), 1 << 63, 20_000)
+    placed = {}
+    for shards in (8, 9):
+        at, owner = sharding.ring(shards, 128)
+        arc = np.searchsorted(at, keys) % len(at)
+        counts = np.bincount(arc, minlength=len(at))
+        load = Counter()
+        runs = sharding.bounded(counts, owner, sharding.capacities(len(keys), shards, 0.1))
+        for _, _, n, s, slot in sorted(runs, key=lambda r: r[3:]):
+            assert slot == load[s]
+            load[s] += n
+        assert sum(load.values()) == len(keys) and max(load.values()) <= np.ceil(len(keys) / shards * 1.1)
+        placed[shards] = owner[arc]
+    moved = placed[8] != placed[9]
+    assert set(placed[9][moved]) == {8} and moved.mean() < 0.2
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=2, max_size=20))
+def test_permutation_turns_back(digits):
+    made = pii.permuted("x", digits, [10] * len(digits), KEY)
+    assert pii.permuted("x", made, [10] * len(digits), KEY, back=True) == digits
+
+
+def test_pseudonyms_are_valid_and_link():
+    card = "4111 1111 1111 1111"
+    text = f"Pay {card} or {card.replace(' ', '')}; born 1984-02-29, ann.lee@example.org, 10.0.0.7, 123-45-6789, (212) 555-0143, DE89 3704 0044 0532 0130 00; id 4111111111111112, 2001-02-30"
+    made, found = pii.replaced(text, KEY)
+    assert {k for k, *_ in found} == {"card", "date", "mail", "ipv4", "ssn", "phone", "iban"}
+    cards = re.search(r"Pay (.+) or (\d+);", made).groups()
+    assert cards[0].replace(" ", "") == cards[1] != card.replace(" ", "")
+    assert pii.luhn([int(c) for c in cards[1]]) % 10 == 0
+    datetime.date.fromisoformat(re.search(r"born (\S+),", made)[1])
+    assert "@example.org" in made and "ann.lee" not in made
+    assert "id 4111111111111112, 2001-02-30" in made  # not valid: they stay
+    assert len(made) == len(text)
+
+
+def test_date_pseudonyms_differ():
+    days = [(datetime.date(1970, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(2000)]
+    made = [pii._date(d, KEY) for d in days]
+    assert len(set(made)) == len(days) and all(len(d) == 10 for d in made)
+
+
+def test_pii_query_and_odd_documents(spark):
+    rows = {r.doc_id: r for r in catalog.QUERIES["op6_pii_pseudonyms"](spark, SF).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {i: r.text for i, r in rows.items()} == {i: None if t is None else pii.replaced(t, b"loomgraph")[0] for i, t in docs.items()}
+    assert any(r.n_replaced for r in rows.values())
+    made = pii.pseudonymised(frame(spark, ODD))
+    assert made.count() == len(ODD) and pii.pseudonymised(frame(spark, [])).count() == 0
+    assert made.where("text is null").count() == sum(t is None for _, t in ODD)
+
+
+def brute_neighbours(vectors, k):
+    ids = np.array([i for i, _ in vectors])
+    x = np.array([v for _, v in vectors], dtype=np.float64)
+    out = {}
+    for i, v in vectors:
+        if i % 20:
+            continue
+        score = (x * np.array(v, dtype=np.float64)).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+        out[i] = [(int(ids[j]), score[j]) for j in order]
+    return out
+
+
+def test_neighbour_query(spark):
+    vectors = [(r.vec_id, np.array(r.embedding, dtype=np.float32)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    wanted = brute_neighbours(vectors, 20)
+    own = dict(vectors)
+    rows = catalog.QUERIES["op7_ivf_pq_neighbours"](spark, SF).collect()
+    hits = 0
+    for i in wanted:
+        got = sorted((r.rank, r.vec_id, r.score) for r in rows if r.query_id == i)
+        assert [g[0] for g in got] == list(range(1, 21)) and i not in [g[1] for g in got]
+        assert got == sorted(got, key=lambda g: (-g[2], g[1]))
+        for _, j, s in got:
+            assert np.isclose(s, own[i].astype(np.float64) @ own[j].astype(np.float64), rtol=1e-12, atol=1e-12)
+        hits += len({g[1] for g in got} & {j for j, _ in wanted[i]})
+    assert hits >= 0.9 * 20 * len(wanted)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (8, [1.0, 0.0]), (9, [1.0, 2.0, 3.0]), (20, [0.0, -1.0]), (40, []), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("cell", common.F.lit("x"))
+    got = ann.search(table, table.where("vec_id % 20 = 0"), k=3).collect()
+    ranked = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in (0, 20)}
+    assert ranked[0] == [1, 8, 7] and ranked[20] == [0, 1, 8] and set(ranked) == {r.query_id for r in got}
+    assert ann.search(table.limit(0), table.limit(0), k=3).count() == 0
+
+
+def test_quality_query(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in catalog.QUERIES["op8_quality_nbsvm"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()
+    assert set(rows) == {d.doc_id for d in docs}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in rows.items())
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(labels[i], rows[i].predicted) for i in labels if i in rows and rows[i].held_out]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
+def test_quality_of_odd_documents(spark):
+    docs = frame(spark, ODD)
+    labels = spark.createDataFrame([(6, 1), (7, 1), (10, 1), (11, 0), (14, 0), (16, 0), (None, 1), (12, None), (6, 0)], "doc_id long, quality int")
+    rows = quality.scored(docs, labels).collect()
+    assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
+    assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
+    assert {r.score for r in quality.scored(docs, labels.where("quality = 1 and doc_id = 7")).collect()} == {1.0}
+    assert quality.scored(frame(spark, []), labels).count() == 0
