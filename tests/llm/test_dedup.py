@@ -5,6 +5,7 @@ import pytest
 from brute_force import ODD, PLAIN, frame, kept_lines, near_classes, shingles, uncovered
 
 from loomgraph.llm import catalog, line_dedup, near_dup, span_dedup
+from loomgraph.llm.components import components
 from loomgraph.llm.suffix_array import suffix_array
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,22 @@ def test_chains_and_blocks_of_near_copies(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(frame(spark, rows), 2, 85, 32, 5).collect()}
     assert got == near_classes(rows, 2, 85)
     assert len(shingles(rows[0][1], 2)) == 59
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 19])
+def test_components(spark, chunk):
+    rng = random.Random(9)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(60)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        return x if root[x] == x else find(root[x])
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    table = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    got = {r.node: r.component for r in components(table, chunk).collect()}
+    assert got == {x: find(x) for x in root if x in got} and set(got) == {x for p in pairs for x in p if p[0] != p[1]}
+    assert components(table.limit(0), chunk).count() == 0
