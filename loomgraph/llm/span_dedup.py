@@ -2,10 +2,11 @@
 
 Anchors (minimizers) bring together all occurrences of each string of `window` bytes: equal windows have
 their anchor at the same place within them. Around each anchor that occurs more than once the bytes of
-the windows it belongs to are gathered by the anchor's hash; the distinct ones of many groups are
-laid end to end, their suffix array is built by linear grouping, and suffixes that stand next to each
-other and agree in `window` bytes are occurrences of one string. All but the earliest are covered. The
-fingerprints only choose what is compared; the suffix array decides on the bytes.
+the windows it belongs to are gathered by the anchor's hash. Of the distinct ones of many groups, the
+stretches whose windows have a fingerprint that occurs again are laid end to end, their suffix array
+is built by linear grouping, and suffixes that stand next to each other and agree in `window` bytes
+are occurrences of one string. All but the earliest are covered. The fingerprints only choose what is
+compared; the suffix array decides on the bytes.
 
 Order: smaller doc_id first, within a document the earlier start. Defined cases: a null or empty text has
 no bytes; rows equal in doc_id and text are one document and get equal results; rows of one doc_id
@@ -16,18 +17,20 @@ others; an empty table gives no rows; further columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import anchors, common
+from loomgraph.llm import anchors, common, kernels
 from loomgraph.llm.suffix_array import suffix_array
 
-#: Distinct bytes for which one suffix array is built.
-LOAD = 1 << 17
+#: Distinct bytes whose windows are looked at together, and those for which one suffix array is built.
+LOAD, SORTED = 1 << 20, 1 << 16
+#: Contexts that a task remembers.
+SEEN = 1 << 17
 
 
 def _groups(batches, names: list[str]):
@@ -84,7 +87,10 @@ def _repeated(found: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            h = rows.column("h").to_numpy()
+            columns = [rows.column(c).to_numpy() for c in ("h", "doc", "th", "meta")]
+            other = np.ones(len(columns[0]), dtype=bool)  # rows of one document's copies are one
+            other[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            rows, h = rows.filter(pa.array(other)), columns[0][other]
             same = h[1:] == h[:-1]
             keep = np.zeros(len(h), dtype=bool)
             keep[1:] |= same
@@ -95,29 +101,49 @@ def _repeated(found: DataFrame) -> DataFrame:
             given = bool(keep[-1]) if len(h) > 1 else given
             held = rows.slice(len(h) - 1)
 
-    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, found.schema)
+    return found.repartition("h").sortWithinPartitions("h", "doc", "th", "meta").mapInArrow(run, found.schema)
 
 
 def _contexts(repeats: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """h, doc, th, start, anchor's distance and the bytes of the windows of each repeated anchor."""
-    left = texts.select("doc", "th", F.lit(0).alias("side"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("meta"), "packed")
-    right = repeats.select("doc", "th", F.lit(1).alias("side"), "h", "meta", F.lit(None).cast("binary").alias("packed"))
-    met = left.unionByName(right).repartition("doc", "th").sortWithinPartitions("doc", "th", "side")
+    """h, doc, th, first start, number of further starts and the bytes of the windows of each repeated anchor.
+
+    What a task has given out before is not sent again: such windows stand earlier, so they come as
+    runs without bytes, dealt out anew. A task so sends each context of a hot anchor about once.
+    """
+    left = texts.select("doc", "th", F.lit(-1).cast("long").alias("meta"), F.lit(0).cast("long").alias("h"), "packed")
+    right = repeats.select("doc", "th", "meta", "h", F.lit(None).cast("binary").alias("packed"))
+    met = left.unionByName(right).repartition("doc", "th").sortWithinPartitions("doc", "th", "meta")
 
     def run(batches):
-        text = b""
-        for new, _, part in _groups(batches, ["doc", "th", "side"]):
-            if part.column("side")[0].as_py() == 0:
-                if new:
-                    text = zlib.decompress(part.column("packed")[0].as_py())
-                continue
+        text, unpack = b"", zstandard.ZstdDecompressor().decompress
+        seen: set[bytes] = set()
+        for new, _, part in _groups(batches, ["doc", "th"]):
             meta = part.column("meta").to_numpy()
+            if new:
+                text = unpack(part.column("packed")[0].as_py())
+            n = int(np.searchsorted(meta, 0))
+            part, meta = part.slice(n), meta[n:]
+            if not len(meta):
+                continue
             at = meta >> 16
             first, last = at - (meta >> 8 & 255), at - (meta & 255)
-            bytes_ = [text[a : b + window] for a, b in zip(first.tolist(), last.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column("h"), part.column("doc"), part.column("th"), pa.array(first), pa.array(bytes_, pa.binary())], ["h", "doc", "th", "start", "context"])
+            contexts, known = [], []
+            for a, b in zip(first.tolist(), (last + window).tolist()):
+                c = text[a:b]
+                known.append(c in seen)
+                if known[-1]:
+                    contexts.append(None)
+                else:
+                    contexts.append(c)
+                    seen.add(c)
+            if len(seen) > SEEN:
+                seen.clear()
+            h = part.column("h").to_numpy().copy()
+            again = np.array(known)
+            h[again] = kernels.mix((part.column("doc").to_numpy() + at).astype(np.uint64)).view(np.int64)[again]
+            yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc"), part.column("th"), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array(contexts, pa.binary())], ["h", "doc", "th", "start", "more", "context"])
 
-    return met.mapInArrow(run, "h long, doc long, th int, start long, context binary")
+    return met.mapInArrow(run, "h long, doc long, th int, start long, more int, context binary")
 
 
 def later_windows(contexts: list[bytes], firsts: list[tuple], window: int) -> list[np.ndarray]:
@@ -154,55 +180,129 @@ def later_windows(contexts: list[bytes], firsts: list[tuple], window: int) -> li
     return marks
 
 
+def shared_runs(contexts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """context, first and last offset of the runs of windows whose fingerprints occur more than once."""
+    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    sizes = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
+    begin = np.cumsum(sizes) - sizes
+    at = kernels.ragged(begin, np.maximum(sizes - window + 1, 0))
+    _, string, counts = np.unique(anchors.gram_hashes(data, window)[at], return_inverse=True, return_counts=True)
+    at = at[counts[string] > 1]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = np.diff(at) > 1  # window - 1 places lie between the windows of two contexts
+    first = at[new]
+    last = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
+    which = np.searchsorted(begin, first, side="right") - 1
+    return which, first - begin[which], last - begin[which]
+
+
+def covered_runs(contexts: list[bytes], places: list[tuple], groups: list[int], window: int):
+    """doc, th, first and last start of the runs of windows that also start earlier.
+
+    `places` (doc, th, start) ascend within a group; equal windows are always of one group.
+    """
+    out = []
+    parts: list[bytes] = []
+    firsts: list[tuple] = []
+    load, last, seen = 0, None, set()
+
+    def resolved():
+        for (doc, th, start), mark in zip(firsts, later_windows(parts, firsts, window)):
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], mark.astype(np.int8), [0]))))
+            out.extend((doc, th, start + a, start + b - 1) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()))
+        parts.clear()
+        firsts.clear()
+
+    def closed():
+        nonlocal load
+        if len(seen) == 1:  # no other is left to compare it with, and it does not repeat itself
+            load -= len(parts.pop())
+            firsts.pop()
+        seen.clear()
+        if load >= SORTED:
+            resolved()
+            load = 0
+
+    for which, a, b in zip(*(x.tolist() for x in shared_runs(contexts, window))):
+        if groups[which] != last:
+            closed()
+            last = groups[which]
+        doc, th, start = places[which]
+        part = contexts[which][a : b + window]
+        if part in seen:  # all its windows stand earlier
+            out.append((doc, th, start + a, start + b))
+        else:
+            seen.add(part)
+            parts.append(part)
+            firsts.append((doc, th, start + a))
+            load += len(part)
+    closed()
+    if parts:
+        resolved()
+    return out
+
+
 def _covered(contexts: DataFrame, window: int) -> DataFrame:
     """doc, th, and the first and last start of runs of windows that also start earlier."""
     dealt = contexts.repartition("h").sortWithinPartitions("h", "doc", "th", "start")
 
     def run(batches):
-        load, waiting = 0, []  # of each context that was new in its group: bytes and place
-
-        def resolved():
-            out = [[], [], [], []]
-            for (doc, th, start), mark in zip([w[1] for w in waiting], later_windows([w[0] for w in waiting], [w[1] for w in waiting], window)):
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], mark.astype(np.int8), [0]))))
-                for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist()):
-                    for column, value in zip(out, (doc, th, start + a, start + b - 1)):
-                        column.append(value)
-            return batch_of(*out)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        waiting: list[bytes] = []  # what was new in its group, its place and its group
+        places: list[tuple] = []
+        groups: list[int] = []
+        seen: set[bytes] = set()
+        load, group, last = 0, -1, None
 
-        def batch_of(doc, th, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc", "th", "a", "b"])
+        def given(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["doc", "th", "a", "b"])
 
-        seen: dict[bytes, None] = {}
-        group: list = []
+        def known(rows):
+            return pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("th"), rows.column("start"), pa.array(rows.column("start").to_numpy() + rows.column("more").to_numpy(), pa.int64())], ["doc", "th", "a", "b"])
 
         def closed():
+            # equal windows have their anchor at the same place, so no context repeats itself
             nonlocal load
-            if len(group) > 1:
-                waiting.extend(group)
-                load += sum(len(c) for c, _ in group)
-            group.clear()
-            seen.clear()
+            if len(seen) == 1:
+                load -= len(waiting.pop())
+                places.pop()
+                groups.pop()
 
-        for new, _, part in _groups(batches, ["h"]):
-            if new:
-                closed()
-                if load >= LOAD:
-                    yield resolved()
-                    waiting.clear()
-                    load = 0
-            out = [[], [], [], []]
-            for doc, th, start, context in zip(*(part.column(c).to_pylist() for c in ("doc", "th", "start", "context"))):
-                if context in seen:  # all its windows stand earlier
-                    for column, value in zip(out, (doc, th, start, start + len(context) - window)):
-                        column.append(value)
-                else:
-                    seen[context] = None
-                    group.append((context, (doc, th, start)))
-            yield batch_of(*out)
+        for batch in batches:
+            runs = batch.filter(batch.column("context").is_null())
+            yield known(runs)
+            batch = batch.filter(batch.column("context").is_valid())
+            # the first of each distinct context of the batch; the others' windows all stand earlier
+            codes = batch.column("context").dictionary_encode().indices.to_numpy()
+            first = np.zeros(len(codes), dtype=bool)
+            first[np.unique(codes, return_index=True)[1]] = True
+            yield known(batch.filter(pa.array(~first)))
+            out = []
+            own = batch.filter(pa.array(first))
+            for h, doc, th, start, context in zip(*(own.column(c).to_pylist() for c in ("h", "doc", "th", "start", "context"))):
+                if h != last:
+                    closed()
+                    group, last = group + 1, h
+                    seen.clear()
+                    if load >= LOAD:
+                        yield given(covered_runs(waiting, places, groups, window))
+                        waiting.clear()
+                        places.clear()
+                        groups.clear()
+                        load = 0
+                if context in seen:
+                    out.append((doc, th, start, start + len(context) - window))
+                    continue
+                seen.add(context)
+                waiting.append(context)
+                places.append((doc, th, start))
+                groups.append(group)
+                load += len(context)
+            if out:
+                yield given(out)
         closed()
         if waiting:
-            yield resolved()
+            yield given(covered_runs(waiting, places, groups, window))
 
     return dealt.mapInArrow(run, "doc long, th int, a long, b long")
 
@@ -213,33 +313,40 @@ def without_repeats(docs: DataFrame, window: int = 100, with_text: bool = True)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("th"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
     def pack(batches):
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "th", "doc_id")), pa.array([zlib.compress(t, 1) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["doc", "th", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "th", "doc_id")), pa.array([compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())], ["doc", "th", "doc_id", "packed"])
 
     texts = rows.mapInArrow(pack, "doc long, th int, doc_id long, packed binary")
     repeats = _repeated(_anchored(rows.select("doc", "th", "text"), window))
-    covered = common.cut(_covered(_contexts(repeats, texts, window), window))
-    left = texts.select("doc", "th", F.lit(1).alias("side"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "doc_id", "packed")
-    right = covered.select("doc", "th", F.lit(0).alias("side"), "a", "b", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("packed"))
-    met = left.unionByName(right).repartition("doc", "th").sortWithinPartitions("doc", "th", "side", "a")
+    covered = common.stored(_covered(_contexts(repeats, texts, window), window))
+    end = (1 << 63) - 1
+    left = texts.select("doc", "th", F.lit(end).alias("run"), "doc_id", "packed")
+    packed_run = F.shiftleft("a", 16).bitwiseOR(F.col("b") - F.col("a"))  # a run is shorter than two windows
+    right = covered.select("doc", "th", packed_run.alias("run"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("packed"))
+    met = left.unionByName(right).repartition("doc", "th").sortWithinPartitions("doc", "th", "run")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept", "spans"] if with_text else [])]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary(), pa.list_(pa.list_(pa.int64()))] if with_text else [])]
 
     def run(batches):
-        spans, key = [], None
-        for _, here, part in _groups(batches, ["doc", "th", "side"]):
-            if here[:2] != key:
-                key, spans = here[:2], []
-            if here[2] == 0:
-                spans.append((part.column("a").to_numpy(), part.column("b").to_numpy()))
+        spans, unpack = [], zstandard.ZstdDecompressor().decompress
+        for new, _, part in _groups(batches, ["doc", "th"]):
+            runs = part.column("run").to_numpy()
+            n = int(np.searchsorted(runs, end))
+            if new:
+                spans = []
+            if n:
+                spans.append(runs[:n])
+            part = part.slice(n)
+            if not part.num_rows:
                 continue
             out = []
             for doc_id, packed in zip(part.column("doc_id").to_pylist(), part.column("packed").to_pylist()):
-                data = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+                data = np.frombuffer(unpack(packed), dtype=np.uint8)
                 change = np.zeros(len(data) + 1, dtype=np.int64)
-                for a, b in spans:
-                    np.add.at(change, a, 1)
-                    np.add.at(change, b + window, -1)
+                for run in spans:
+                    np.add.at(change, run >> 16, 1)
+                    np.add.at(change, (run >> 16) + (run & 0xFFFF) + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 kept = data[~gone].tobytes()

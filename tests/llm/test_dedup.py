@@ -50,6 +50,8 @@ def test_spans_of_odd_documents(spark):
     got = {r.doc_id: ([tuple(s) for s in r.spans], bytes(r.kept)) for r in span_dedup.without_repeats(frame(spark, PLAIN)).collect()}
     assert got == wanted
     assert span_dedup.without_repeats(frame(spark, ODD)).count() == len(ODD)
+    twice = span_dedup.without_repeats(frame(spark, [*PLAIN, *PLAIN])).collect()
+    assert len(twice) == 2 * len(PLAIN) and all(([tuple(s) for s in r.spans], bytes(r.kept)) == wanted[r.doc_id] for r in twice)
     assert span_dedup.without_repeats(frame(spark, [])).count() == 0
 
 
