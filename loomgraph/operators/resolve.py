@@ -27,6 +27,11 @@ def resolve(refs: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFra
     def found(rows: DataFrame, step: int, strategy: str, confidence: float) -> DataFrame:
         return rows.select("ref_id", "id", "qualified_name", "label", "file_path", "start_line", F.lit(step).alias("step"), F.lit(strategy).alias("strategy"), F.lit(confidence).alias("confidence"))
 
+    def first_of(*by: str) -> DataFrame:
+        """The first symbol of each name, or of each name and label or file: no reference meets all of a common name."""
+        best = F.min_by(F.struct("id", *(c for c in ("qualified_name", "label", "file_path", "start_line") if c not in by)), F.struct("file_path", "start_line", "qualified_name", "id"))
+        return s.groupBy("symbol", *by).agg(best.alias("_s")).select("symbol", *by, "_s.*")
+
     named = r.join(s, F.col("last") == F.col("symbol"))
     bound = r.join(bindings.select(F.col("file_path").alias("ref_file"), F.col("alias").alias("head"), "namespace"), ["ref_file", "head"])
     qualified = F.col("ref").rlike(r"[/\\.:]")
@@ -35,9 +40,9 @@ def resolve(refs: DataFrame, symbols: DataFrame, bindings: DataFrame) -> DataFra
         found(bound.where(qualified).join(s, F.col("last") == F.col("symbol")).where(F.col("qualified_name").contains(F.col("namespace"))), 1, "import_namespace", 0.95),
         found(bound.where(~qualified).withColumn("target", last_segment(F.col("namespace"))).join(s, F.col("target") == F.col("symbol")), 2, "import_alias", 0.82),
         found(named.where(qualified & F.col("qualified_name").endswith(F.col("ref"))), 3, "qualified_suffix", 0.92),
-        found(named.where(F.col("label") == F.col("wanted")), 4, "preferred_label", 0.90),
-        found(named.where(F.col("file_path") == F.col("ref_file")), 5, "same_file", 0.88),
-        found(named, 6, "first_match", 0.50),
+        found(r.join(first_of("label"), (F.col("last") == F.col("symbol")) & (F.col("label") == F.col("wanted"))), 4, "preferred_label", 0.90),
+        found(r.join(first_of("file_path"), (F.col("last") == F.col("symbol")) & (F.col("file_path") == F.col("ref_file"))), 5, "same_file", 0.88),
+        found(r.join(first_of(), F.col("last") == F.col("symbol")), 6, "first_match", 0.50),
     ]
     place = F.row_number().over(Window.partitionBy("ref_id").orderBy("step", "file_path", "start_line", "qualified_name", "id"))
     return reduce(DataFrame.unionByName, parts).withColumn("_place", place).where("_place = 1").drop("_place", "step")

@@ -39,6 +39,10 @@ def phrase_counts(found: DataFrame, phrase: list[str], key: str = "doc_id") -> D
     return at.groupBy(key).agg(F.count(F.lit(1)).alias("f"))
 
 
+def _begins(prefix: str):
+    return lambda t: t.startswith(prefix)
+
+
 def bm25(docs: DataFrame, terms: list[list[str]], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key and rank (negative; smaller is better) of the documents that have all terms.
 
@@ -51,7 +55,7 @@ def bm25(docs: DataFrame, terms: list[list[str]], key: str = "doc_id", text: str
     for i, phrase in enumerate(terms):
         names.append(f"_f{i}")
         if len(phrase) == 1:
-            sized = sized.withColumn(names[-1], F.size(F.filter("_tokens", lambda t, p=phrase[0]: t.startswith(p))))
+            sized = sized.withColumn(names[-1], F.size(F.filter("_tokens", _begins(phrase[0]))))
         else:
             counted = phrase_counts(postings(docs, key, text), phrase, key).withColumnRenamed("f", names[-1])
             sized = sized.join(counted, key, "left").fillna(0, [names[-1]])
