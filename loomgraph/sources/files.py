@@ -54,7 +54,7 @@ def discover(spark: SparkSession, root: str, fast: bool = False, table: list[tup
     if fast:
         bad = bad | name.rlike(r"(\.d\.ts|\.pb\.go)$")
     kept = rows.where(~bad & ~ignored(F.col("file_path"), table or []))
-    return kept.select("file_path", rules.language(F.col("file_path"), overrides).alias("language"), "size", "mtime", F.decode("content", "UTF-8").alias("content"))
+    return kept.select("file_path", rules.language(F.col("file_path"), overrides).alias("language"), "size", "mtime", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def _git(root: str, *args: str) -> str:

@@ -22,5 +22,5 @@ def watch(spark: SparkSession, folder: str, refresh: Callable[[DataFrame, int],
 
 def activity(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events of each kind by time window; works on tables and on streams, where late rows go."""
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
-    return kept.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    kept = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+    return kept.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
