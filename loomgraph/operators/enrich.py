@@ -55,8 +55,8 @@ def dependency_links(variables: DataFrame, imports: DataFrame) -> DataFrame:
 
 def data_flows(edges: DataFrame, routes: DataFrame) -> DataFrame:
     """DATA_FLOWS from each caller of a route to each of its handlers that it does not call directly."""
-    callers = edges.where("type in ('HTTP_CALLS', 'ASYNC_CALLS')").select(F.col("source_id"), F.col("target_id").alias("route"))
-    handlers = edges.where("type = 'HANDLES'").select(F.col("source_id").alias("target_id"), F.col("target_id").alias("route"))
+    callers = edges.where("type in ('HTTP_CALLS', 'ASYNC_CALLS')").select(F.col("source_id"), F.col("target_id").alias("route")).distinct()
+    handlers = edges.where("type = 'HANDLES'").select(F.col("source_id").alias("target_id"), F.col("target_id").alias("route")).distinct()
     on_route = callers.join(routes.select(F.col("id").alias("route")), "route", "left_semi").join(handlers, "route").where("source_id != target_id")
     direct = edges.where("type = 'CALLS'").select("source_id", "target_id")
     return on_route.select("source_id", "target_id").distinct().join(direct, ["source_id", "target_id"], "left_anti").withColumn("type", F.lit("DATA_FLOWS"))

@@ -73,9 +73,9 @@ def distances(edges: DataFrame, starts: DataFrame, depth: int, direction: str =
     """id and dist of all nodes within `depth` of any start (a column id), level by level.
 
     With a cap, no level is begun once more nodes than that are known. Each level is a join of the new
-    nodes alone and is kept in the shared folder.
+    nodes alone and is kept in the shared folder; while they are few, the edges are not shuffled.
     """
-    steps = _oriented(edges, direction, types).select("near", "far").where("near != far").distinct()
+    steps = _oriented(edges, direction, types).select("near", "far").where("near != far")
     known = cut(starts.select("id").distinct().withColumn("dist", F.lit(0)))
     front = known
     for level in range(1, depth + 1):
@@ -130,7 +130,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: in
 
     Each node carries its two nearest distinct seeds, which is enough to tell its nearest other seed.
     """
-    steps = cut(_oriented(edges, "both", None).select("near", "far").where("near != far").distinct())
+    steps = _oriented(edges, "both", None).select("near", "far").where("near != far")
     two = Window.partitionBy("id").orderBy("hop", "seed")
     near = cut(seeds.select("id").distinct().select("id", F.col("id").alias("seed"), F.lit(0).alias("hop")))
     for level in range(1, depth + 1):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import match, rules
+from loomgraph.operators.checkpoint import cut
 
 WORDS = r"[\p{L}\p{N}]+"
 
@@ -49,23 +50,21 @@ def bm25(docs: DataFrame, terms: list[list[str]], key: str = "doc_id", text: str
     Tokens are counted in place for single-word terms, so the corpus is not exploded for them; phrases
     go through postings of the documents alone.
     """
-    sized = docs.select(key, text, tokens(F.col(text)).alias("_tokens"))
-    stats = sized.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("_tokens")).alias("_avg"))
-    names = []
-    for i, phrase in enumerate(terms):
-        names.append(f"_f{i}")
-        if len(phrase) == 1:
-            sized = sized.withColumn(names[-1], F.size(F.filter("_tokens", _begins(phrase[0]))))
-        else:
-            counted = phrase_counts(postings(docs, key, text), phrase, key).withColumnRenamed("f", names[-1])
-            sized = sized.join(counted, key, "left").fillna(0, [names[-1]])
-    counts = sized.agg(*[F.sum(F.when(F.col(f) > 0, 1).otherwise(0)).alias(f"_df{f}") for f in names])
-    scored = sized.where(match.all_of([F.col(f) > 0 for f in names])).crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(counts))  # two single rows
+    names = [f"_f{i}" for i in range(len(terms))]
+    single = {f: p[0] for f, p in zip(names, terms) if len(p) == 1}
+    counts = [F.size(F.filter("_tokens", _begins(p))).alias(f) for f, p in single.items()]
+    sized = docs.select(key, tokens(F.col(text)).alias("_tokens")).select(key, F.size("_tokens").alias("_size"), *counts)
+    for f, phrase in zip(names, terms):
+        if f not in single:
+            sized = sized.join(phrase_counts(postings(docs, key, text), phrase, key).withColumnRenamed("f", f), key, "left").fillna(0, [f])
+    sized = cut(sized)  # a few numbers a document: the texts are read once
+    stats = sized.agg(F.count(F.lit(1)).alias("_n"), F.avg("_size").alias("_avg"), *[F.sum(F.when(F.col(f) > 0, 1).otherwise(0)).alias(f"_df{f}") for f in names])
+    scored = sized.where(match.all_of([F.col(f) > 0 for f in names])).crossJoin(F.broadcast(stats))  # a single row
     rank = F.lit(0.0)
     for f in names:
         n = F.col(f"_df{f}")
         idf = F.greatest(F.log((F.col("_n") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        rank = rank - idf * F.col(f) * (k1 + 1) / (F.col(f) + k1 * (1 - b + b * F.size("_tokens") / F.col("_avg")))
+        rank = rank - idf * F.col(f) * (k1 + 1) / (F.col(f) + k1 * (1 - b + b * F.col("_size") / F.col("_avg")))
     return scored.select(key, rank.alias("rank"))
 
 

@@ -246,23 +246,23 @@ def next_start_window(spark, sf_dir):
     return found.select(F.col("file_path").alias("doc_id"), "id", "end_line")
 
 
-CALLS = "calls as (select user_id as source_id, 'HTTP_CALLS' as type, event_id % 40 as target_id from events where event_type = 'click' union all select user_id, 'ASYNC_CALLS', event_id % 40 from events where event_type = 'view' union all select user_id, 'HANDLES', event_id % 40 from events where event_type = 'signup' union all select user_id, 'CALLS', (event_id * 7) % 100 from events where event_type = 'error')"
+CALLS = "calls as (select user_id as source_id, 'HTTP_CALLS' as type, event_id % 997 as target_id from events where event_type = 'click' union all select user_id, 'ASYNC_CALLS', event_id % 997 from events where event_type = 'view' union all select user_id, 'HANDLES', event_id % 997 from events where event_type = 'signup' union all select user_id, 'CALLS', (event_id * 7) % 100 from events where event_type = 'error')"
 
 
 def _calls(spark, sf_dir):
     kind = F.create_map(*[F.lit(x) for kv in {"click": "HTTP_CALLS", "view": "ASYNC_CALLS", "signup": "HANDLES", "error": "CALLS"}.items() for x in kv])
     e = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.try_element_at(kind, F.col("event_type")).alias("type"), "event_id").where("type is not null")
-    return e.withColumn("target_id", F.when(F.col("type") == "CALLS", F.col("event_id") * 7 % 100).otherwise(F.col("event_id") % 40)).drop("event_id")
+    return e.withColumn("target_id", F.when(F.col("type") == "CALLS", F.col("event_id") * 7 % 100).otherwise(F.col("event_id") % 997)).drop("event_id")
 
 
 @query(f"with {CALLS} select distinct c.source_id, h.source_id as target_id, 'DATA_FLOWS' as type from calls c join calls h on h.target_id = c.target_id where c.type in ('HTTP_CALLS', 'ASYNC_CALLS') and h.type = 'HANDLES' and c.source_id != h.source_id and not exists (select 1 from calls d where d.type = 'CALLS' and d.source_id = c.source_id and d.target_id = h.source_id)")
 def dataflow_anti_join(spark, sf_dir):
-    return enrich.data_flows(_calls(spark, sf_dir), spark.range(40))
+    return enrich.data_flows(_calls(spark, sf_dir), spark.range(997))
 
 
 @query(f"with {CALLS}, t as (select distinct source_id, concat('__event__kafka__t', target_id) as topic_name, type from calls where type in ('ASYNC_CALLS', 'HANDLES') and target_id % 2 = 0) select topic_name, count(*) filter (where type = 'ASYNC_CALLS') as emitters, count(*) filter (where type = 'HANDLES') as subscribers from t group by topic_name")
 def topic_links(spark, sf_dir):
-    routes = spark.range(40).select("id", F.when(F.col("id") % 2 == 0, "kafka").alias("broker"), F.concat(F.lit("t"), "id").alias("topic"))
+    routes = spark.range(997).select("id", F.when(F.col("id") % 2 == 0, "kafka").alias("broker"), F.concat(F.lit("t"), "id").alias("topic"))
     found = enrich.topic_summary(enrich.topic_edges(_calls(spark, sf_dir), routes))
     return found.select("topic_name", F.size("emitters").cast("long").alias("emitters"), F.size("subscribers").cast("long").alias("subscribers"))
 
