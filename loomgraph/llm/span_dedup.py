@@ -29,6 +29,8 @@ from loomgraph.llm.suffix_array import suffix_array
 
 #: Distinct bytes whose windows are looked at together, and those for which one suffix array is built.
 LOAD, SORTED = 1 << 20, 1 << 16
+#: Marks of anchors whose hash occurs so often among those given out together.
+AGAIN, FIRST, FREQUENT = 1 << 62, 1 << 61, 8
 #: Contexts that a task remembers.
 SEEN = 1 << 17
 
@@ -48,7 +50,11 @@ def _groups(batches, names: list[str]):
 
 
 def _anchored(docs: DataFrame, window: int) -> DataFrame:
-    """h, doc, th and meta of every anchor; meta packs its place and how far its windows start before it."""
+    """h, doc, th and meta of every anchor; meta packs its place and how far its windows start before it.
+
+    Among the anchors given out together, the first of each frequent hash is marked FIRST and the others
+    AGAIN: those are known to be repeated, so only the first has to meet the hash's others.
+    """
 
     def run(batches):
         for batch in batches:
@@ -56,7 +62,13 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
             out = [[], [], [], []]
 
             def packed():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h", "doc", "th", "meta"])
+                h, doc, th, meta = (np.concatenate(c) for c in out)
+                _, first, of, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                frequent = counts[of] >= FREQUENT
+                meta = np.where(frequent, meta | AGAIN, meta)
+                first = first[frequent[first]]
+                meta[first] ^= AGAIN | FIRST
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in (h, doc, th, meta)], ["h", "doc", "th", "meta"])
 
             have = 0  # anchors not yet given out
             for i, text in enumerate(batch.column("text").cast(pa.binary())):
@@ -79,7 +91,10 @@ def _anchored(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _repeated(found: DataFrame) -> DataFrame:
-    """The anchors whose hash occurs more than once; runs of a hash are streamed, not held."""
+    """The anchors whose hash occurs more than once; runs of a hash are streamed, not held.
+
+    What is marked AGAIN is dealt out by its place, so a hash that very many anchors have is spread.
+    """
 
     def run(batches):
         held, given = None, False  # the last row so far, and whether it was given out
@@ -87,21 +102,20 @@ def _repeated(found: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            columns = [rows.column(c).to_numpy() for c in ("h", "doc", "th", "meta")]
-            other = np.ones(len(columns[0]), dtype=bool)  # rows of one document's copies are one
-            other[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-            rows, h = rows.filter(pa.array(other)), columns[0][other]
+            h, meta = rows.column("h").to_numpy(), rows.column("meta").to_numpy()
             same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), dtype=bool)
+            keep = meta >= FIRST
             keep[1:] |= same
             keep[:-1] |= same
+            held, last = rows.slice(len(h) - 1), bool(keep[-1])
             if given:
                 keep[0] = False
-            yield rows.filter(pa.array(keep))
-            given = bool(keep[-1]) if len(h) > 1 else given
-            held = rows.slice(len(h) - 1)
+            kept = rows.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:3], pa.array(kept.column("meta").to_numpy() & (FIRST - 1))], kept.schema.names)
+            given = last
 
-    return found.repartition("h").sortWithinPartitions("h", "doc", "th", "meta").mapInArrow(run, found.schema)
+    dealt = F.when(F.col("meta") >= AGAIN, F.xxhash64("doc", "meta")).otherwise(F.col("h"))
+    return found.repartition(dealt).sortWithinPartitions("h").mapInArrow(run, found.schema)
 
 
 def _contexts(repeats: DataFrame, texts: DataFrame, window: int) -> DataFrame:
@@ -117,12 +131,14 @@ def _contexts(repeats: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     def run(batches):
         text, unpack = b"", zstandard.ZstdDecompressor().decompress
         seen: set[bytes] = set()
+        last_meta = -1
         for new, _, part in _groups(batches, ["doc", "th"]):
             meta = part.column("meta").to_numpy()
             if new:
-                text = unpack(part.column("packed")[0].as_py())
-            n = int(np.searchsorted(meta, 0))
-            part, meta = part.slice(n), meta[n:]
+                text, last_meta = unpack(part.column("packed")[0].as_py()), -1
+            other = np.diff(meta, prepend=last_meta) > 0  # not the texts, and an anchor of a document's copies once
+            last_meta = int(meta[-1])
+            part, meta = part.filter(pa.array(other)), meta[other]
             if not len(meta):
                 continue
             at = meta >> 16
@@ -320,6 +336,7 @@ def without_repeats(docs: DataFrame, window: int = 100, with_text: bool = True)
     texts = rows.mapInArrow(pack, "doc long, th int, doc_id long, packed binary")
     repeats = _repeated(_anchored(rows.select("doc", "th", "text"), window))
     covered = common.stored(_covered(_contexts(repeats, texts, window), window))
+    docs.sparkSession._jvm.System.gc()  # lets Spark drop the shuffle files of what is stored now
     end = (1 << 63) - 1
     left = texts.select("doc", "th", F.lit(end).alias("run"), "doc_id", "packed")
     packed_run = F.shiftleft("a", 16).bitwiseOR(F.col("b") - F.col("a"))  # a run is shorter than two windows
