@@ -30,7 +30,7 @@ from loomgraph.llm.suffix_array import suffix_array
 #: Distinct bytes whose windows are looked at together, and those for which one suffix array is built.
 LOAD, SORTED = 1 << 20, 1 << 16
 #: Marks of anchors whose hash occurs so often among those given out together.
-AGAIN, FIRST, FREQUENT = 1 << 62, 1 << 61, 8
+AGAIN, FIRST, FREQUENT = 1 << 62, 1 << 61, 64
 #: Contexts that a task remembers.
 SEEN = 1 << 17
 
