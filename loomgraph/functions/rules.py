@@ -45,9 +45,28 @@ def tested_path(path: Column) -> Column:
     return F.concat(head, made)
 
 
-ROUTE_REGISTRARS = [".route(", ".get(", ".post(", "add_url_rule", "HandleFunc", "app.route", "router.", "express.Router", "include_router", "urlpatterns", "@RequestMapping", "@GetMapping"]
-HTTP_CLIENTS = ["requests.", "httpx.", "aiohttp.", "urllib", "fetch", "axios", "http.Get", "http.Post", "HttpClient", "RestTemplate", "reqwest", "got.", "superagent", "WebClient", "OkHttp"]
-BROKERS = ["celery", "kafka", "rabbitmq", "pika.", "sqs", "sns", "pubsub", "nats", "redis.publish", "send_task", "apply_async", "eventbus", "amqp", "mqtt"]
+# Substrings of qualified names that tell services apart, and brokers by the first that matches.
+ROUTE_REGISTRARS = """flask.route flask.add_url_rule app.route router.route express.Router express.route fastify.route
+fastify.register koa.router hono.route hapi.route gin.Handle gin.GET gin.POST gin.PUT gin.DELETE gin.PATCH chi.Route
+chi.Get chi.Post chi.Put chi.Delete gorilla/mux.HandleFunc gorilla/mux.Handle echo.GET echo.POST echo.PUT echo.DELETE
+fiber.Get fiber.Post actix_web.route axum.route rocket.route starlette.route django.path django.url laravel.route
+symfony.route""".split()
+HTTP_CLIENTS = """requests.get requests.post requests.put requests.delete requests.patch requests.head requests.options
+requests.request httpx.get httpx.post httpx.put httpx.delete httpx.patch httpx.request aiohttp.ClientSession
+aiohttp.request urllib.request urllib3.request axios.get axios.post axios.put axios.delete axios.patch axios.request
+axios.create superagent.get superagent.post node-fetch undici.fetch undici.request net/http.Get net/http.Post
+net/http.Do resty.R resty.New HttpClient OkHttpClient okhttp3 RestTemplate WebClient reqwest.get reqwest.Client
+hyper.Client HTTParty Faraday RestClient""".split()
+BROKERS = """cloudtasks cloud.tasks pubsub PubSub pub_sub sqs SQS sns SNS eventbridge EventBridge lambda.invoke
+Lambda.invoke step_functions StepFunctions kafka Kafka rabbitmq RabbitMQ amqp AMQP nats NATS redis.publish
+Redis.publish redis.lpush redis.rpush celery.task celery.send_task celery.delay dramatiq.actor dramatiq.send huey.task
+rq.Queue rq.enqueue bullmq BullMQ bull.Queue sidekiq Sidekiq resque Resque temporal.workflow temporal.activity
+inngest.send inngest.create_function""".split()
+BROKER_NAMES = """cloudtasks:cloud_tasks cloud.tasks:cloud_tasks pubsub:pubsub PubSub:pubsub pub_sub:pubsub sqs:sqs SQS:sqs
+sns:sns SNS:sns eventbridge:eventbridge EventBridge:eventbridge kafka:kafka Kafka:kafka rabbitmq:rabbitmq
+RabbitMQ:rabbitmq amqp:rabbitmq AMQP:rabbitmq nats:nats NATS:nats redis:redis celery:celery Celery:celery
+dramatiq:dramatiq huey:huey rq.:rq bullmq:bullmq BullMQ:bullmq bull.Queue:bull sidekiq:sidekiq Sidekiq:sidekiq
+resque:resque Resque:resque temporal:temporal inngest:inngest""".split()
 METHODS = ["get", "post", "put", "delete", "patch", "head", "options"]
 
 
@@ -58,9 +77,17 @@ def service_kind(name: Column) -> Column:
 
 
 def http_method(name: Column) -> Column:
-    """The method a call's last segment names, in upper case; else null."""
-    last = F.lower(F.regexp_extract(name, r"([A-Za-z]+)$", 1))
-    return F.when(last.isin(METHODS), F.upper(last))
+    """The method a call ends in, behind a dot and in one of three casings, in upper case; else null."""
+    last = F.regexp_extract(name, r"\.([A-Za-z]+)$", 1)
+    return F.when(last.isin([x for m in METHODS for x in (m, m.capitalize(), m.upper())]), F.upper(last))
+
+
+def broker(name: Column) -> Column:
+    """The broker of an asynchronous call; else null."""
+    out = F.lit(None).cast("string")
+    for pattern, found in reversed([x.split(":") for x in BROKER_NAMES]):
+        out = F.when(name.contains(pattern), found).otherwise(out)
+    return out
 
 
 UNTRACKED_STARTS = [".git/", "node_modules/", "vendor/", "__pycache__/", ".cache/"]

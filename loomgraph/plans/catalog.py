@@ -277,13 +277,13 @@ def config_name_link(spark, sf_dir):
     return enrich.config_links(keys, names).select(F.col("target_id").alias("key"), F.col("source_id").alias("symbol"), "confidence")
 
 
-NAMES = "case event_id % 5 when 0 then 'requests.get' when 1 then 'app.route(/x)' when 2 then 'celery.send_task' when 3 then 'client.fetchAll' else 'math.floor' end"
+NAMES = "case event_id % 5 when 0 then 'requests.get' when 1 then 'app.route(/x)' when 2 then 'celery.send_task' when 3 then 'HttpClient.send' else 'math.floor' end"
 
 
-@query(f"with n as (select {NAMES} as callee from events), k as (select callee, case callee when 'app.route(/x)' then 'route_registration' when 'requests.get' then 'http_client' when 'client.fetchAll' then 'http_client' when 'celery.send_task' then 'async_broker' end as kind, case callee when 'requests.get' then 'GET' end as method from n) select callee, kind, method, count(*) as n from k group by all")
+@query(f"with n as (select {NAMES} as callee from events), k as (select callee, case callee when 'app.route(/x)' then 'route_registration' when 'requests.get' then 'http_client' when 'HttpClient.send' then 'http_client' when 'celery.send_task' then 'async_broker' end as kind, case callee when 'requests.get' then 'GET' end as method, case callee when 'celery.send_task' then 'celery' end as broker from n) select callee, kind, method, broker, count(*) as n from k group by all")
 def classify_service_calls(spark, sf_dir):
     e = views.table(spark, sf_dir, "events").select(F.expr(NAMES).alias("callee"))
-    return e.groupBy("callee", rules.service_kind(F.col("callee")).alias("kind"), rules.http_method(F.col("callee")).alias("method")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy("callee", rules.service_kind(F.col("callee")).alias("kind"), rules.http_method(F.col("callee")).alias("method"), rules.broker(F.col("callee")).alias("broker")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -54,3 +54,8 @@ def test_test_names(spark, name, found):
 @pytest.mark.parametrize(("name", "made"), [("api-base-url", "api.base.url"), ("apiBaseUrl", "api.base.url"), ("API_KEY", "api.key")])
 def test_config_names(spark, name, made):
     assert value(spark, rules.config_name(F.lit(name))) == made
+
+
+@pytest.mark.parametrize(("name", "kind", "method", "broker"), [("gin.GET", "route_registration", "GET", None), ("requests.post", "http_client", "POST", None), ("my.Kafka.send", "async_broker", None, "kafka"), ("amqp.forget", "async_broker", None, "rabbitmq"), ("math.floor", None, None, None)])
+def test_services(spark, name, kind, method, broker):
+    assert [value(spark, f(F.lit(name))) for f in (rules.service_kind, rules.http_method, rules.broker)] == [kind, method, broker]
