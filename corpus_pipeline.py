@@ -35,11 +35,12 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: five-word shingles, similarity 0.8."""
-    kept = near_dup.classes(docs, k=5, percent=80, bands=32, rows=4).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").withColumn("_place", place).where("_place = 1").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    """One row of each class of near-duplicate texts: five-word shingles, similarity 0.8."""
+    kept = near_dup.survivors(docs, k=5, percent=80, bands=32, rows=4).select(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_kept_hash"), F.col("whole").alias("_whole"))
+    own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    place = F.row_number().over(Window.partitionBy("_kept", "_hash").orderBy("text"))
+    found = own.join(kept, (F.col("doc_id").cast("long") == F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash"))).withColumn("_place", place)
+    return found.where("_whole or _place = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ task, and only links that join components are given out. No link is left out tha
 result; pairs within one component cannot.
 
 Defined cases: a null or empty text has no shingles and no links; a null doc_id takes no part and is
-kept; rows with one doc_id are one document in links, each row with its own number of shingles; an
-empty table gives no rows; further columns are not looked at.
+kept; rows with one doc_id are one document in links, whatever their texts, each row with its own number
+of shingles; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -71,8 +71,13 @@ def _texts(batch: pa.RecordBatch):
     return column.to_pylist()
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's hash, which tell the rows apart."""
+    return common.text_of(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
 def described(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """Of each document: n_shingles, two halves of its set's fingerprint, its band keys and one byte of each bin."""
+    """Of each row: its text's hash, n_shingles, two halves of its set's fingerprint, its band keys and one byte of each bin."""
 
     def run(batches):
         for batch in batches:
@@ -88,13 +93,13 @@ def described(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(sketch, bands, rows).view(np.int64)
                 small = (kernels.mix(sketch) >> np.uint64(56)).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(counts, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), lists, pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("text_hash")[a:b], pa.array(counts, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), lists, pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "text_hash", "n_shingles", "f1", "f2", "keys", "sketch"])
 
-    return common.text_of(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketch binary")
+    return hashed(docs).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, keys array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """The sorted shingle hashes of each document as bytes."""
+    """The sorted shingle hashes of each text as bytes."""
 
     def run(batches):
         for batch in batches:
@@ -102,9 +107,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             for a, b in kernels.chunks(texts):
                 h, counts = kernels.shingle_sets(texts[a:b], k)
                 ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([h[s:e].tobytes() for s, e in zip((ends - counts).tolist(), ends.tolist())], pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep")[a:b], pa.array([h[s:e].tobytes() for s, e in zip((ends - counts).tolist(), ends.tolist())], pa.binary())], ["rep", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return docs.select("rep", "text").mapInArrow(run, "rep long, set binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,8 +132,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common_ >= percent * (len(left) + len(right) - common_))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
@@ -212,18 +217,19 @@ def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     return reps.join(of, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+def _set_links(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows, the distinct sets (f1, f2, rep, doc_id, text_hash) and the links (a, b) of sets.
 
-    With the defaults a pair at the threshold is missed with probability (1 - 0.8**4)**32 < 1e-7.
+    Each set has a number of its own, rep, in the order of the least doc_id that has it; doc_id and
+    text_hash are those of the row that stands for it.
     """
     t = bands * rows
     narrow = common.cut(described(docs, k, bands, rows))
     prints = narrow.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # documents with equal sets: the smallest doc_id stands for the class
-    firsts = prints.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    kept = prints.join(firsts.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["rep"])
-    by_set = common.cut(kept.select("f1", "f2", "rep", "keys", "sketch"))
+    # rows with equal sets: the smallest doc_id, then the smallest hash, stands for the set
+    firsts = prints.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first")).select("f1", "f2", "_first.*")
+    firsts = common.cut(firsts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "f1", "f2").withColumn("rep", F.monotonically_increasing_id()))
+    by_set = common.cut(prints.join(firsts, ["f1", "f2", "doc_id", "text_hash"]).select("rep", "keys", "sketch").dropDuplicates(["rep"]))
     members = by_set.select("rep", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader != last").select("bucket", "leader")
     members = common.cut(members.join(shared, "bucket"))
@@ -231,10 +237,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
     stars = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     stars = common.cut(_possible(stars, sketched, percent, t))
     # the sets of the candidates alone
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = common.cut(_sets(common.text_of(docs).join(wanted, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]))
+    wanted = members.select("rep").distinct()
+    rows_of = firsts.join(wanted, "rep", "left_semi").select("doc_id", "text_hash", "rep")
+    sets = common.cut(_sets(hashed(docs).join(rows_of, ["doc_id", "text_hash"]), k).dropDuplicates(["rep"]))
     links = common.cut(_linked(stars, sets, percent))
-    labels = common.cut(_labels(wanted.select(F.col("doc_id").alias("rep")), links))
+    labels = common.cut(_labels(wanted, links))
     labelled = members.select("bucket", "rep").join(labels, "rep")
     several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     rest = common.cut(labelled.join(several, "bucket"))
@@ -242,9 +249,43 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, row
     heads = rest.groupBy("bucket").agg(F.min("rep").alias("a"))
     groups = components(rest.join(heads, "bucket").select("a", F.col("rep").alias("b")).where("a != b").distinct())
     rest = rest.select("rep", "component").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
-    rest = rest.join(sketched, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    links = common.cut(links.unionByName(_across(rest, percent, t)))
-    reps = _labels(by_set.select("rep"), links).join(by_set.select("f1", "f2", "rep"), "rep").select("f1", "f2", "component")
-    out = narrow.select("doc_id", "n_shingles", "f1", "f2").join(reps, ["f1", "f2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+    rest = rest.join(sketched, "rep").join(sets, "rep")
+    return narrow, firsts, common.cut(links.unionByName(_across(rest, percent, t)))
+
+
+def _id_links(narrow: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links (a, b) of the sets that rows of one doc_id have."""
+    prints = narrow.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "f1", "f2")
+    each = F.struct("f1", "f2")
+    several = prints.groupBy("doc_id").agg(F.min(each).alias("low"), F.max(each).alias("high")).where("low != high").select("doc_id")
+    held = common.cut(prints.join(several, "doc_id", "left_semi").join(firsts.select("f1", "f2", "rep"), ["f1", "f2"]).select("doc_id", "rep").distinct())
+    heads = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return held.join(heads, "doc_id").where("a != rep").select("a", F.col("rep").alias("b"))
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    With the defaults a pair at the threshold is missed with probability (1 - 0.8**4)**32 < 1e-7.
+    """
+    narrow, firsts, links = _set_links(docs, k, percent, bands, rows)
+    of = _labels(firsts.select("rep"), links.unionByName(_id_links(narrow, firsts)))
+    # sets are numbered in the order of doc_id, so a component's least set has its least doc_id
+    ids = firsts.select(F.col("rep").alias("component"), F.col("doc_id").alias("component_id"))
+    alone = of.where("rep = component").join(firsts, "rep").select("f1", "f2", F.col("doc_id").alias("_component"))
+    others = of.where("rep != component").join(firsts.select("f1", "f2", "rep"), "rep").join(ids, "component").select("f1", "f2", F.col("component_id").alias("_component"))
+    out = narrow.select("doc_id", "n_shingles", "f1", "f2").join(alone.unionByName(others), ["f1", "f2"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def survivors(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """doc_id, text_hash and whole of the rows that stay: one for each class of near-duplicate texts, and
+    (whole) every row without shingles.
+
+    Rows are classed by their own texts alone, so a row never goes for the class of another row of its doc_id.
+    """
+    narrow, firsts, links = _set_links(docs, k, percent, bands, rows)
+    of = _labels(firsts.select("rep"), links)
+    first = firsts.join(of.where("rep = component"), "rep", "left_semi").select("doc_id", "text_hash", F.lit(False).alias("whole"))
+    return first.unionByName(narrow.where("n_shingles = 0 and doc_id is not null").select("doc_id", "text_hash", F.lit(True).alias("whole")).distinct())

@@ -84,6 +84,16 @@ def test_near_duplicates_of_odd_documents(spark):
     assert near_dup.classes(frame(spark, []), 3, 85, 32, 5).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    # 5 and 6 link only by 30's two texts; 8's null row has no set; 9's other text has near and exact copies
+    rows = [(30, text("p")), (30, text("q")), (5, text("p")), (6, text("q") + " more"), (8, None), (8, text("r")), (18, text("r") + " more"), (9, text("s")), (9, text("t")), (19, text("t")), (29, text("t") + " more"), (40, text("u"))]
+    wanted = {5: 5, 6: 5, 30: 5, 8: 8, 18: 8, 9: 9, 19: 9, 29: 9, 40: 40}
+    for partitions in (1, 3, 7):
+        got = [(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_dup.classes(frame(spark, rows, partitions), 3, 85, 32, 5).collect()]
+        assert sorted(got, key=str) == sorted(((i, t is not None, wanted[i], wanted[i] == i) for i, t in rows), key=str)
+
+
 def test_chains_and_blocks_of_near_copies(spark):
     rng = random.Random(5)
     base = [f"t{i}" for i in range(60)]

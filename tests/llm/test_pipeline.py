@@ -58,3 +58,10 @@ def test_odd_documents(spark):
     assert lines.count() == len(ODD) and lines.columns == docs.columns
     near = pipeline.near_duplicates(spark, docs, SF)
     assert near.columns == docs.columns and near.where("doc_id is null").count() == 2
+
+
+def test_a_row_goes_only_for_its_own_class(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    table = [(1, text("p")), (1, text("q")), (1, text("q")), (1, None), (2, text("p") + " more"), (3, text("q") + " more"), (3, text("r")), (4, "")]
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, frame(spark, table), SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, text("p")), (1, text("q")), (1, None), (3, text("r")), (4, "")], key=str)
