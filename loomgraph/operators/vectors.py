@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,13 +59,74 @@ def search(vectors: DataFrame, keywords: list[list[float]], vector: str = "embed
     return vectors.withColumn("score", least).where("score > 0")
 
 
-def related(tokens: DataFrame, vectors: DataFrame, key: str, token: str, vector: str, hot: int = 96, threshold: float = 0.45, limit: int = 6) -> DataFrame:
-    """source, target and score: of the rows that share a token of at most `hot` rows, the best
-    `limit` above the threshold for each source."""
+def _met(tokens: DataFrame, vectors: DataFrame, key: str, token: str, vector: str, threshold: float, limit: int, block: int = 256) -> DataFrame:
+    """source, target and score of each source's best `limit` in every two blocks of a token's rows.
+
+    Every two blocks meet on their own, so a task holds two blocks however many rows a token has. Sums
+    go in the order of cosine(), so equal vectors have equal scores.
+    """
+    kept = tokens.select(F.col(key).alias("_key"), F.col(token).alias("_token")).where("_token is not null").distinct()
+    whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    kept = kept.join(vectors.where(whole).select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_vector")), "_key")
+    sizes = kept.groupBy("_token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = kept.join(sizes, "_token").withColumn("own", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = met.select("_token", "i", "j", "own", "_key", "_vector").repartition("_token", "i", "j").sortWithinPartitions("_token", "i", "j", "_key")
+    kind = kept.schema["_key"].dataType.simpleString()
+
+    def best(rows: list[pa.RecordBatch]):
+        group = pa.Table.from_batches(rows)
+        inner = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        keys, owns = group.column("_key").combine_chunks(), group.column("own").to_numpy()
+        lists = group.column("_vector").combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        for length in np.unique(lengths[lengths > 0]):
+            own = np.flatnonzero(lengths == length)
+            x = lists.take(pa.array(own)).flatten().to_numpy().reshape(-1, length).T.copy()
+            dots, squares = np.zeros((len(own), len(own))), np.zeros(len(own))
+            for d in x:
+                dots += d[:, None] * d[None, :]
+                squares += d * d
+            sizes = np.sqrt(squares)[:, None] * np.sqrt(squares)[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where(~(sizes <= 0), dots / sizes, 0.0)
+            _, same = np.unique(np.array(keys.take(pa.array(own)).to_pylist()), return_inverse=True)
+            good = ~(score < threshold) & (same[:, None] != same[None, :]) & (inner | (owns[own][:, None] != owns[own][None, :]))
+            source, target = [], []
+            for a in np.flatnonzero(good.any(axis=1)):
+                b = np.flatnonzero(good[a])
+                b = b[np.lexsort((same[b], np.where(np.isnan(score[a, b]), -np.inf, -score[a, b])))][:limit]
+                source += [a] * len(b)
+                target += b.tolist()
+            if source:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(own[source])), keys.take(pa.array(own[target])), pa.array(score[source, target])], ["source", "target", "score"])
+
+    def run(batches):
+        held, key_ = [], None
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in ("_token", "i", "j"))))
+            starts = [0, *(at for at in range(1, len(names)) if names[at] != names[at - 1]), len(names)] if names else [0]
+            for s, e in zip(starts, starts[1:]):
+                if held and names[s] != key_:
+                    yield from best(held)
+                    held = []
+                key_ = names[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from best(held)
+
+    return dealt.mapInArrow(run, f"source {kind}, target {kind}, score double")
+
+
+def related(tokens: DataFrame, vectors: DataFrame, key: str, token: str, vector: str, hot: int | None = 96, threshold: float = 0.45, limit: int = 6) -> DataFrame:
+    """source, target and score: of the rows that share a token of at most `hot` rows (of any token
+    if None), the best `limit` above the threshold for each source."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))
+    if hot is None:
+        return _met(tokens, vectors, key, token, vector, threshold, limit).distinct().withColumn("place", place).where(F.col("place") <= limit)
     used = tokens.groupBy(token).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, hot)).select(token)
     kept = tokens.select(key, token).distinct().join(used, token)
     pairs = kept.withColumnRenamed(key, "source").join(kept.withColumnRenamed(key, "target"), token).where("source != target").select("source", "target").distinct()
     of = lambda s, v: vectors.select(F.col(key).alias(s), F.col(vector).alias(v))
     scored = pairs.join(of("source", "_x"), "source").join(of("target", "_y"), "target").select("source", "target", cosine(F.col("_x"), F.col("_y")).alias("score")).where(F.col("score") >= threshold)
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))
     return scored.withColumn("place", place).where(F.col("place") <= limit)
