@@ -194,6 +194,13 @@ def bm25_label_boost(spark, sf_dir):
     return text_search.search_nodes(ranked, views.symbols(spark, sf_dir).where("end_line <= 12"), "doc_id").select("doc_id", "name", "label", F.round("rank", 6).alias("rank"))
 
 
+@query(ORACLES["bm25_label_boost"].removesuffix(" and s.end_line <= 12"))
+def bm25_label_boost_whole(spark, sf_dir):
+    """Symbols of every line of a document."""
+    ranked = text_search.bm25(_docs(spark, sf_dir), text_search.query_terms("the"))
+    return text_search.search_nodes(ranked, views.symbols(spark, sf_dir), "doc_id").select("doc_id", "name", "label", F.round("rank", 6).alias("rank"))
+
+
 ATTRIBUTED = f"with {SYMBOLS}, hits as (select * from lines where contains(content, 'the ')), spans as (select h.doc_id, h.line, s.id, s.name, s.label, s.start_line, s.end_line, row_number() over (partition by h.doc_id, h.line order by s.end_line - s.start_line nulls last, s.name desc, s.id) as place from hits h left join symbols s on s.doc_id = h.doc_id and s.label != 'Module' and h.line between s.start_line and s.end_line), owned as (select doc_id, line, coalesce(id, doc_id * 1000) as symbol_id, case when id is null then concat('m', doc_id) else name end as name, case when id is null then 'Module' else label end as label, start_line, end_line from spans where place = 1)"
 
 

@@ -3,6 +3,8 @@
 import math
 import random
 
+from test_catalog import same
+
 from loomgraph.plans import catalog
 
 
@@ -21,3 +23,8 @@ def test_related_beyond_96_rows_of_a_token(spark, tmp_path):
     for r in catalog.QUERIES["related_top6"](spark, str(tmp_path)).orderBy("source", "place").collect():
         got.setdefault(r.source, []).append(r.target)
     assert {i: got.get(i, []) for i in wanted} == wanted and any(wanted.values())
+
+
+def test_label_boost_reaches_late_lines(spark):
+    late = catalog.QUERIES["bm25_label_boost_whole"](spark, "/root/testdata/sf0.01").where("label = 'Function' and name not in ('f0', 'f1')")
+    assert late.count() > 0
