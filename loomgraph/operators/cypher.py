@@ -161,8 +161,11 @@ class Parser:
         return ref, self.word("ASC", "DESC") == "DESC"
 
 
-def run(text: str, nodes: DataFrame, edges: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """The query's rows as strings. Filters, projections and joins are left to the optimiser."""
+def run(text: str, nodes: DataFrame, edges: DataFrame, max_rows: int | None = None, unlimited: bool = False) -> DataFrame:
+    """The query's rows as strings. Filters, projections and joins are left to the optimiser.
+
+    Without a LIMIT the rows are max_rows or DEFAULT_LIMIT at most, or all of them if unlimited.
+    """
     query = Parser(text).parse()
     p = query.pattern
     if p.edge is None:
@@ -207,12 +210,13 @@ def run(text: str, nodes: DataFrame, edges: DataFrame, max_rows: int | None = No
     for ref, down in query.order:
         key = column((ref[1], "name")) if not ref[0] and ref[1] in sides else column(ref)
         ordered.append(key.desc() if down else key.asc())
-    limit = query.limit if query.limit is not None else max_rows or DEFAULT_LIMIT
+    limit = query.limit if query.limit is not None else None if unlimited else max_rows or DEFAULT_LIMIT
+    most = lambda df: df if limit is None else df.limit(limit)
     if items[0].distinct:
         keys = [F.expr(f"`_k{i}`").desc() if down else F.expr(f"`_k{i}`").asc() for i, (_, down) in enumerate(query.order)]
         shown = rows.select(*columns, *[column(ref).alias(f"_k{i}") for i, (ref, _) in enumerate(query.order)]).distinct()
         names = [c for c in shown.columns if not c.startswith("_k")]
         once = shown.groupBy(*[F.col(f"`{n}`") for n in names]).agg(*[(F.max if down else F.min)(f"_k{i}").alias(f"_k{i}") for i, (_, down) in enumerate(query.order)]) if keys else shown
-        return once.orderBy(*keys, *[F.col(f"`{n}`") for n in names]).limit(limit).select(*[F.col(f"`{n}`") for n in names])
+        return most(once.orderBy(*keys, *[F.col(f"`{n}`") for n in names])).select(*[F.col(f"`{n}`") for n in names])
     first = [*ordered, *default] if p.edge is not None else [*ordered, *([] if ordered else [columns[0]]), F.col("a.id")]
-    return rows.orderBy(*first).limit(limit).select(*columns)
+    return most(rows.orderBy(*first)).select(*columns)

@@ -30,10 +30,17 @@ def query(sql: str | None = None):
 
 
 def _cypher(name: str, text: str, sql: str) -> None:
+    """Registers a query, and one with a LIMIT also without it, as name_whole."""
+
     def run(spark, sf_dir):
         return cypher.run(text, views.nodes(spark, sf_dir), views.edges(spark, sf_dir))
 
+    def whole(spark, sf_dir):
+        return cypher.run(text.rpartition(" LIMIT ")[0], views.nodes(spark, sf_dir), views.edges(spark, sf_dir), unlimited=True)
+
     QUERIES[name], ORACLES[name] = run, f"with {GRAPH} {sql}"
+    if " LIMIT " in text:
+        QUERIES[f"{name}_whole"], ORACLES[f"{name}_whole"] = whole, f"with {GRAPH} {sql.rpartition(' limit ')[0]}"
 
 
 _cypher(

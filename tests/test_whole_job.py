@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from test_catalog import same
 
 from loomgraph.plans import catalog
@@ -28,3 +29,8 @@ def test_related_beyond_96_rows_of_a_token(spark, tmp_path):
 def test_label_boost_reaches_late_lines(spark):
     late = catalog.QUERIES["bm25_label_boost_whole"](spark, "/root/testdata/sf0.01").where("label = 'Function' and name not in ('f0', 'f1')")
     assert late.count() > 0
+
+
+@pytest.mark.parametrize("name, limit", [("cypher_and_or_precedence", 1000), ("cypher_json_property", 300), ("cypher_edge_filter", 100), ("cypher_numeric_filter", 500)])
+def test_filters_give_all_rows(spark, name, limit):
+    assert same(spark, f"{name}_whole", "sf0.1") > limit
