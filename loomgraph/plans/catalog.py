@@ -390,6 +390,14 @@ def edge_insert_first(spark, sf_dir):
     return graph.inserted(e.where("target_id < 30"), known, "event_id")
 
 
+@query("with e as (select event_id, user_id as source_id, event_id % 40 as target_id, event_type as type from events), known as (select user_id as id from events union select unnest(range(1, 30))), f as (select *, row_number() over (partition by source_id, target_id, type order by event_id) as place from e where source_id > 0 and target_id > 0) select event_id, source_id, target_id, type from f where place = 1 and source_id in (select id from known) and target_id in (select id from known)")
+def edge_insert_whole(spark, sf_dir):
+    """All events; the known nodes alone decide which edges go."""
+    e = views.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source_id"), (F.col("event_id") % 40).alias("target_id"), F.col("event_type").alias("type"))
+    known = e.select(F.col("source_id").alias("id")).union(spark.range(1, 30)).distinct()
+    return graph.inserted(e, known, "event_id")
+
+
 @query("select concat('n', l_partkey) as qualified_name, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) as label, min(l_suppkey) filter (where l_suppkey > 0) as start_line, max(l_linenumber) as end_line from lineitem group by l_partkey")
 def node_upsert(spark, sf_dir):
     rows = views.table(spark, sf_dir, "lineitem").select(F.lit("p").alias("project"), F.concat(F.lit("n"), "l_partkey").alias("qualified_name"), F.col("l_returnflag").alias("label"), F.lit("x").alias("name"), F.lit("f").alias("file_path"), F.col("l_suppkey").alias("start_line"), F.col("l_linenumber").alias("end_line"), F.lit("").alias("properties"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_order"))

@@ -34,3 +34,11 @@ def test_label_boost_reaches_late_lines(spark):
 @pytest.mark.parametrize("name, limit", [("cypher_and_or_precedence", 1000), ("cypher_json_property", 300), ("cypher_edge_filter", 100), ("cypher_numeric_filter", 500)])
 def test_filters_give_all_rows(spark, name, limit):
     assert same(spark, f"{name}_whole", "sf0.1") > limit
+
+
+def test_edges_to_known_users_are_inserted(spark):
+    made = catalog.QUERIES["edge_insert_whole"](spark, "/root/testdata/sf0.1")
+    first = catalog.QUERIES["edge_insert_first"](spark, "/root/testdata/sf0.1")
+    n, late, before = made.count(), made.where("target_id >= 30").count(), first.count()
+    print(f"edges {before} {n} late {late}")
+    assert late > 0 and n == before + late
