@@ -5,9 +5,7 @@ from __future__ import annotations
 import functools
 import json
 
-import numpy as np
-
-from loomgraph.llm import kernels, splitting
+from loomgraph.llm import splitting
 
 
 def byte_symbols() -> dict[str, int]:
@@ -17,12 +15,10 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class ByteLevelEncoder:
+class ByteLevelEncoder(splitting.Encoder):
     """Encodes as the tokenizers library does with the given file and add_special_tokens=False.
 
-    Words come from array passes over the whole batch; every distinct word is merged once. Texts
-    that hold one of the file's added tokens, or code points that Unicode versions class otherwise, are
-    rare and go through the library itself.
+    Words come from array passes over the whole batch; every distinct word is merged once.
     """
 
     def __init__(self, path: str):
@@ -31,31 +27,11 @@ class ByteLevelEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_symbols()
-        self.path = path
-        self.added = [t["content"] for t in spec["added_tokens"]]
-        ranks = {bytes(back[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.added}
+        added = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(back[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
         core = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.words = splitting.WordTable(lambda new: [core.encode_single_piece(w.encode("utf-8", "replace")) for w in new])
-
-    @functools.cached_property
-    def library(self):
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(self.path)
-        found.no_truncation()
-        found.no_padding()
-        return found
-
-    def encode(self, texts: list[str]):
-        """Yields the ids of each text, in order, as an unsigned 32-bit array."""
-        for a, b in kernels.chunks(texts):
-            part = texts[a:b]
-            odd = {i for i, t in enumerate(part) if any(x in t for x in self.added)}
-            ids, counts, doubtful = splitting.encoded(["" if i in odd else t for i, t in enumerate(part)] if odd else part, splitting.byte_level_spans, self.words)
-            odd |= doubtful
-            ends = np.cumsum(counts)
-            for i, (s, e) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
-                yield np.array(self.library.encode(part[i], add_special_tokens=False).ids, dtype=np.uint32) if i in odd else ids[s:e]
+        words = splitting.WordTable(lambda new: [core.encode_single_piece(w.encode("utf-8", "replace")) for w in new])
+        super().__init__(spec["added_tokens"], splitting.byte_level_spans, words)
 
 
 @functools.lru_cache(maxsize=2)

@@ -24,40 +24,56 @@ def text_of(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names in spark.checkpoint.dir; a local one is set only where
-    that is unset, as in tests."""
+    """The checkpoint folder the cluster names in spark.checkpoint.dir; a folder of this machine is taken
+    only where that is unset and the master is local, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, splits: int = 0) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there, so that what follows
-    survives the loss of any executor without going back further."""
+    survives the loss of any executor without going back further.
+
+    What is narrow and comes straight from a scan can name a number of splits of the input that a task
+    takes one after another, so that the folder does not get a small file for each.
+    """
     shared_folder(df.sparkSession)
+    if splits:
+        df = df.coalesce(max(1, -(-df.rdd.getNumPartitions() // splits)))
     return df.checkpoint(eager=True)
 
 
-def salted_counts(rows: DataFrame, key: str, salt: str) -> DataFrame:
-    """Rows by key and salt, with the number of rows of the same key under smaller salts.
+def whole(df: DataFrame) -> Column:
+    """All columns of df in one, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
-    There is one row for each key and salt, however many rows a key has.
-    """
-    counts = rows.groupBy(key, salt).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(key).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+def unpacked(df: DataFrame, columns: list[str], replaced: dict[str, Column]) -> DataFrame:
+    """The columns that `row` holds, in their order, with those of `replaced` in their place or behind them."""
+    kept = [replaced.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+    return df.select(*kept, *(c.alias(name) for name, c in replaced.items() if name not in columns))
 
 
-def ranked(rows: DataFrame, key: str, salt: str, order: list[str | Column], into: str) -> DataFrame:
-    """Adds each row's rank (from 0) among the rows of its key.
+def ranked(rows: DataFrame, key: str, mixed: str, order: list[str], into: str) -> DataFrame:
+    """Adds each row's rank (from 0) among the rows of its key, by `mixed` (a well mixed hash) and `order`.
 
-    A key is dealt out over its salts, so no task has to hold a key whole: the rank is the place
-    within key and salt plus the number of rows under the key's smaller salts.
+    A key is dealt out over ranges of `mixed`, so no task has to hold a key whole: the rank is the place
+    within key and range plus the number of the key's rows in smaller ranges. The ranges follow the hash
+    alone, so the rank is the same for any number of them. There is one count for each key and range.
     """
-    counts = salted_counts(rows, key, salt).drop("n")
-    place = F.row_number().over(Window.partitionBy(key, salt).orderBy(*order)) - 1
-    return rows.withColumn("_place", place.cast("long")).join(counts, [key, salt]).withColumn(into, F.col("_place") + F.col("before")).drop("_place", "before")
+    bits = max(4, (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    salted = rows.withColumn("range", F.shiftright(mixed, 64 - bits))
+    counts = salted.groupBy(key, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(key, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(key, "range").orderBy(mixed, *order)) - 1
+    placed = salted.withColumn("place", place.cast("long")).join(counts, [key, "range"])
+    return placed.withColumn(into, F.col("place") + F.col("before")).drop("place", "before", "range")
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -9,15 +9,21 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts of a batch are worked through in chunks of about so many characters; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(2 * CHUNK)
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, INVERSE):
         p = np.full(n, base, dtype=np.uint64)
@@ -27,9 +33,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64."""
-    size = max(CHUNK * 2, 1 << (max(n, 1) - 1).bit_length())
-    p, q = _powers(size)
+    """Powers of the hash base and of its inverse modulo 2**64; those of the usual sizes are kept."""
+    p, q = _powers() if n <= 2 * CHUNK else _made_powers(n)
     return p[:n], q[:n]
 
 
@@ -43,7 +48,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] that depend on the content alone."""
+    """64-bit hashes of values[start:end] that depend on the content alone; starts and ends ascend.
+
+    Long values are gone through in stretches, so that only a single span beyond CHUNK takes more room.
+    """
+    if len(values) < 2 * CHUNK:
+        return _hashes(values, starts, ends)
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(int(np.searchsorted(ends, base + CHUNK, side="right")), i + 1)
+        out[i:j] = _hashes(values[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base)
+        i = j
+    return out
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(values)
     p, q = powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
@@ -72,6 +93,25 @@ def chunks(texts: list, size: int = CHUNK):
         yield at, len(texts)
 
 
+def parts(batches, column: str = "text", size: int = CHUNK):
+    """The batches in slices whose `column` has about `size` bytes, so that only a slice's texts become
+    Python objects at a time; a longer text is a slice of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        a = 0
+        while a < batch.num_rows:
+            b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")), a + 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def raw(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """The texts of a slice as UTF-8."""
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)

@@ -7,8 +7,10 @@ bin's pattern is repeated as long as the counts allow: the result is that of the
 by bin, and the driver's work does not grow with the corpus. The rows then find their places by
 their rank among the rows of their length.
 
-Defined cases: a null or empty text is one separator id; repeated rows and null ids are packed like
-others; an empty table gives no rows; further columns are not looked at.
+Defined cases: a null or empty text is one separator id; a very long text is cut into pieces of which
+only the first may be shorter; of documents of one length the order is that of a hash of their ids and
+content, and rows alike in all of these may take each other's places; repeated rows and null ids are packed
+like others; an empty table gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common
+from loomgraph.llm import common, kernels
 from loomgraph.llm.byte_bpe import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -108,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int
 
     def tokenised(batches):
         encode = encoder(tokenizer).encode
-        for batch in batches:
+        for batch in kernels.parts(batches):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(separator)).astype("<u4")
@@ -127,15 +129,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int =
     """Where each piece goes: PIECES plus sequence_id and offset.
 
     The pieces' lengths and checksums, not the texts, are kept in the shared folder between the two
-    passes. Ranks are dealt out over salts, so a length that a third of all rows has is no hot spot.
+    passes. Ranks are dealt out over ranges of a hash, so a length that a third of all rows has is no hot
+    spot, and a row's place does not depend on how many partitions there are.
     """
     session = docs.sparkSession
-    salts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    cutting = common.cut(pieces(docs, tokenizer, capacity, separator))
+    cutting = common.cut(pieces(docs, tokenizer, capacity, separator), splits=4)
     counts = {r["length"]: r["n"] for r in cutting.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = session.sparkContext.broadcast(places(best_two_fit(counts, capacity)))
-    salted = cutting.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    ranked = common.ranked(salted, "length", "salt", ["doc_id", "piece", "ids_crc32"], "rank")
+    mixed = cutting.withColumn("mixed", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    ranked = common.ranked(mixed, "length", "mixed", ["doc_id", "piece", "ids_crc32"], "rank")
 
     def placed(batches):
         p = plan.value

@@ -2,12 +2,15 @@
 
 Every shard has `vnodes` points on the ring; a key belongs to the first point clockwise from its
 hash. A shard holds no more than its capacity: the keys of an arc beyond it continue clockwise to the
-next point whose shard has room. An arc's keys are alike for this rule but for their order, so the
-rule runs over the counts by arc (shards * vnodes numbers), and rows find their places by their
-rank within the arc. With no slack the capacities add up to the rows and differ by one at most.
-
-Defined cases: rows with a null key share one place on the ring; repeated rows each take a slot;
-an empty table gives no rows; further columns are not looked at.
+next point whose shard has room. An arc's keys are alike for this rule but for their order (that of
+another hash of the key), so the rule runs over the counts by arc (shards * vnodes numbers), and rows find
+their places by their rank within the arc. Keys and ring alone decide the places, not partitions. With
+no slack the capacities add up to the rows and differ by one at most.
+
+Defined cases: a null text has size 1; a very long text is measured whole; rows with a null key share one
+place on the ring; rows of one key come in the order of a hash of their ties, and rows alike in these too
+may take each other's slots; repeated rows each take a slot; an empty table gives no rows; further
+columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -70,41 +73,42 @@ def capacities(rows: int, shards: int, slack: float) -> np.ndarray:
 
 
 def assign(rows: DataFrame, key: str, shards: int = 16, vnodes: int = 128, slack: float = 0.0, tie: list[str] = ()) -> DataFrame:
-    """Adds shard and slot (gapless from 0 within the shard) to every row.
+    """Adds shard and slot (gapless from 0 within the shard; replaced if there) to every row.
 
-    `tie` names columns that tell rows of one key apart; with them a hot key is dealt out over salts.
+    `tie` names columns that tell rows of one key apart; with them a hot key is dealt out over ranges.
     The rows are kept in the shared folder between the two passes, so give it narrow ones.
     """
     session = rows.sparkSession
     positions, owner = ring(shards, vnodes)
-    salts = int(session.conf.get("spark.sql.shuffle.partitions"))
-    # ranks of equal keys follow the salt; the key's hash alone decides its arc
-    hashed = rows.withColumn("_at", F.xxhash64(key)).withColumn("_salt", F.pmod(F.xxhash64(key, *tie), F.lit(salts)))
+    columns = rows.columns
+    # the key's hash decides its arc; within an arc the rows come in the order of another hash
+    hashed = rows.select(common.whole(rows).alias("row"), F.xxhash64(key).alias("at"), F.xxhash64(F.lit("order"), key, *tie).alias("mixed"))
 
     def arced(batches):
         for batch in batches:
-            arc = np.searchsorted(positions, batch.column("_at").to_numpy(zero_copy_only=False)) % len(positions)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arc, pa.int64())], [*batch.schema.names, "_arc"])
+            arc = np.searchsorted(positions, batch.column("at").to_numpy(zero_copy_only=False)) % len(positions)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("mixed"), pa.array(arc, pa.int64())], ["row", "mixed", "arc"])
 
-    found = common.cut(hashed.mapInArrow(arced, T.StructType([*hashed.schema.fields, T.StructField("_arc", T.LongType())])))
+    row, long = T.StructField("row", hashed.schema["row"].dataType), T.LongType()
+    found = common.cut(hashed.mapInArrow(arced, T.StructType([row, T.StructField("mixed", long), T.StructField("arc", long)])), splits=4)
     counts = np.zeros(len(positions), dtype=np.int64)
-    for r in found.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect():  # at most shards * vnodes rows
-        counts[r["_arc"]] = r["n"]
+    for r in found.groupBy("arc").agg(F.count(F.lit(1)).alias("n")).collect():  # at most shards * vnodes rows
+        counts[r["arc"]] = r["n"]
     runs = bounded(counts, owner, capacities(int(counts.sum()), shards, slack))
     plan = session.sparkContext.broadcast({name: np.array(x, dtype=np.int64) for name, x in zip(("arc", "rank", "n", "shard", "slot"), zip(*runs) if runs else [()] * 5)})
-    ranked = common.ranked(found, "_arc", "_salt", ["_at", key, *tie], "_rank")
+    ranked = common.ranked(found, "arc", "mixed", [f"row.`{c}`" for c in (key, *tie)], "rank")
 
     def placed(batches):
         p = plan.value
         keys = (p["arc"] << 44) + p["rank"]
         for batch in batches:
-            rank = batch.column("_rank").to_numpy()
-            run = np.searchsorted(keys, (batch.column("_arc").to_numpy() << 44) + rank, side="right") - 1
+            rank = batch.column("rank").to_numpy()
+            run = np.searchsorted(keys, (batch.column("arc").to_numpy() << 44) + rank, side="right") - 1
             shard, slot = p["shard"][run], p["slot"][run] + rank - p["rank"][run]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(shard, pa.int32()), pa.array(slot, pa.int64())], [*names, "shard", "slot"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(shard, pa.int32()), pa.array(slot, pa.int64())], ["row", "shard", "slot"])
 
-    names = rows.columns
-    return ranked.select(*names, "_arc", "_rank").mapInArrow(placed, T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+    made = ranked.select("row", "arc", "rank").mapInArrow(placed, T.StructType([row, T.StructField("shard", T.IntegerType()), T.StructField("slot", long)]))
+    return common.unpacked(made, columns, {"shard": F.col("shard"), "slot": F.col("slot")})
 
 
 def sharded_documents(docs: DataFrame, shards: int = 16, vnodes: int = 128, slack: float = 0.0) -> DataFrame:

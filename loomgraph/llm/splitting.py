@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 import functools
-import unicodedata
+import re
 from collections.abc import Callable
 
 import numpy as np
+from tokenizers import Regex, pre_tokenizers
 
 from loomgraph.llm import kernels
 
-OTHER, LETTER, NUMBER, SPACE, EDGE, DOUBTFUL = range(6)
+OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Stands between texts; it is no code point, so no word crosses it.
 SENTINEL = 0x110000
 
 
-WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Beyond these, planes hold no letters, numbers or white space in any Unicode version so far.
+PLANES = 0x40000
 
 
 @functools.lru_cache(maxsize=1)
 def classes() -> np.ndarray:
-    """The class of every code point under \\p{L}, \\p{N} and \\s; DOUBTFUL where it is unassigned
-    here, so that another Unicode version may class it otherwise."""
-    kinds = {"L": LETTER, "N": NUMBER, "Cn": DOUBTFUL}
-    names = [unicodedata.category(chr(c)) for c in range(SENTINEL)]
-    table = np.fromiter((kinds.get(x, kinds.get(x[0], OTHER)) for x in names), dtype=np.uint8, count=SENTINEL)
-    table[WHITE] = SPACE
-    return np.append(table, np.uint8(EDGE))
+    """The class of every code point under \\p{L}, \\p{N} and \\s, as the tokenizers' own pattern engine
+    has it, whatever version of Unicode that follows."""
+    table = np.full(SENTINEL + 1, OTHER, dtype=np.uint8)
+    table[SENTINEL] = EDGE
+    points = [*range(0xD800), *range(0xE000, PLANES)]
+    every = "".join(map(chr, points))
+    place = np.array(points)
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+        for piece, (a, b) in pre_tokenizers.Split(Regex(rf"{pattern}+"), "isolated").pre_tokenize_str(every):
+            if pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(piece[0]) == []:
+                table[place[a:b]] = kind
+    return table
 
 
 def layout(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +102,8 @@ def word_level_spans(cp: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.n
 class WordTable:
     """Encoded words by the hash of the word: arrays, so a million words take some tens of MB.
 
-    The table is emptied when it has `limit` words; then words are encoded again as they come.
+    The table is emptied when it has `limit` words or eight ids for each of them (some 56 MB in all);
+    then words are encoded again as they come.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], limit: int = 1_000_000):
@@ -103,46 +111,46 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.counts = np.zeros(0, dtype=np.int64)
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys (sorted), starts and counts
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
+        self.used = self.held = 0
 
     def find(self, keys: np.ndarray, words: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each of the sorted distinct keys stand in the pool, and how many they are."""
-        if len(self.keys) + len(keys) > self.limit:
+        if self.held + len(keys) > self.limit or self.used > 8 * self.limit:
             self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
+        starts, counts = np.full(len(keys), -1), np.zeros(len(keys), dtype=np.int64)
+        for own, start, count in self.levels:
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            hit = own[at] == keys
+            starts[hit], counts[hit] = start[at[hit]], count[at[hit]]
+        new = np.flatnonzero(starts < 0)
         if len(new):
             found = self.encode(words(new))
-            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            need = self.used + int(counts.sum())
+            counts[new] = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            need = self.used + int(counts[new].sum())
             if need > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), need), dtype=np.uint32)))
             self.pool[self.used : need] = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=need - self.used)
-            self.starts = np.insert(self.starts, at[new], self.used + np.cumsum(counts) - counts)
-            self.counts = np.insert(self.counts, at[new], counts)
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.used = need
-            at = np.searchsorted(self.keys, keys)
-        return self.starts[at], self.counts[at]
-
-
-def encoded(texts: list[str], spans: Callable, words: WordTable) -> tuple[np.ndarray, np.ndarray, set[int]]:
-    """Ids of all texts one after another, the number of ids of each text, and which texts hold
-    doubtful code points, so that their ids may not be those of the library."""
+            starts[new] = self.used + np.cumsum(counts[new]) - counts[new]
+            self.used, self.held = need, self.held + len(new)
+            self.levels.append((keys[new], starts[new], counts[new]))
+            # a level goes into the one before it once that is not four times as large: few levels, few copies
+            while len(self.levels) > 1 and len(self.levels[-2][0]) < 4 * len(self.levels[-1][0]):
+                joined = [np.concatenate(c) for c in zip(*self.levels[-2:])]
+                order = np.argsort(joined[0], kind="stable")
+                self.levels[-2:] = [tuple(c[order] for c in joined)]
+        return starts, counts
+
+
+def encoded(texts: list[str], spans: Callable, words: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the number of ids of each text."""
     cp, bounds = layout(texts)
-    kind = classes()[cp]
-    doubtful = set(np.searchsorted(bounds, np.flatnonzero(kind == DOUBTFUL), side="right").tolist())
-    begin, end = spans(cp, np.where(kind == DOUBTFUL, np.uint8(OTHER), kind) if doubtful else kind)
+    begin, end = spans(cp, classes()[cp])
     if not len(begin):
-        return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64), doubtful
+        return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
     keys, first, inverse = np.unique(kernels.span_hashes(cp, begin, end), return_index=True, return_inverse=True)
+
     data = cp.tobytes()
 
     def spelled(which: np.ndarray) -> list[str]:
@@ -155,4 +163,35 @@ def encoded(texts: list[str], spans: Callable, words: WordTable) -> tuple[np.nda
     # words of a text lie between its bounds
     cut = np.searchsorted(begin, bounds)
     ends = np.concatenate(([0], np.cumsum(counts)))[cut]
-    return ids, np.diff(np.concatenate(([0], ends))), doubtful
+    return ids, np.diff(np.concatenate(([0], ends)))
+
+
+class Encoder:
+    """Encodes whole texts: added tokens of the vocabulary are cut out of the text as it stands, and the
+    pieces between them are normalised, split into words and looked up."""
+
+    def __init__(self, added: list[dict], spans: Callable, words: WordTable, normalised: Callable[[str], str] | None = None):
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("only added tokens that are matched as they stand are known here")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
+        self.spans, self.words, self.normalised = spans, words, normalised or (lambda t: t)
+
+    def encode(self, texts: list[str]):
+        """Yields the ids of each text, in order, as an unsigned 32-bit array."""
+        for a, b in kernels.chunks(texts):
+            part = texts[a:b]
+            whole = [not any(x in t for x in self.added) for t in part]
+            pieces, tokens = [], []
+            for t, plain in zip(part, whole):
+                pieces += [t] if plain else self.pattern.split(t)
+                tokens.append([] if plain else [self.added[m] for m in self.pattern.findall(t)])
+            ids, counts = encoded([self.normalised(p) for p in pieces], self.spans, self.words)
+            ends = np.cumsum(counts)
+            at = 0
+            for own in tokens:
+                runs = [ids[ends[k] - counts[k] : ends[k]] for k in range(at, at + len(own) + 1)]
+                at += len(runs)
+                for k, token in enumerate(own):
+                    runs.insert(2 * k + 1, np.array([token], dtype=np.uint32))
+                yield runs[0] if len(runs) == 1 else np.concatenate(runs)

@@ -1,12 +1,15 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The distinct new words of a batch are laid out as one row of symbols. An index maps each mergeable
-pair to all its positions; the active ranks are applied in ascending order, each at all positions of
-its pair from left to right, and a merge updates the lists of the pairs it makes beside it. Words
-once merged are kept in an array table, so the work is by distinct word and not by occurrence.
-
-Defined cases: a null or empty text has no ids and decodes to the empty text; repeated rows and null
-ids are encoded like others; an empty table gives no rows; further columns are not looked at.
+The distinct new words of a stretch of the partition (some 2**18 characters, so memory stays bounded)
+are laid out as one row of symbols. An index maps each mergeable pair to all its positions; the active
+ranks are applied in ascending order, each at all positions of its pair from left to right, and a merge
+updates the lists of the pairs it makes beside it. Words once merged are kept in an array table, so the
+work is by distinct word and not by occurrence. Every text takes this way; of the tokenizers library only
+the character tables are asked (what it takes for letters, numbers and white space, what it composes).
+
+Defined cases: a null or empty text has no ids and decodes to the empty text; a very long text is a
+stretch of its own; positions of equal rank are merged from left to right; repeated rows and null ids are
+encoded like others; an empty table gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -122,15 +125,21 @@ class Merges:
                     break
 
 
-class WordLevelCodec:
+@functools.lru_cache(maxsize=1)
+def lower_cased() -> dict[int, str]:
+    """Code points whose lower case differs here from that of the tokenizers' own tables."""
+    lower = normalizers.Lowercase().normalize_str
+    found = {c: lower(chr(c)) for c in [*range(128, 0xD800), *range(0xE000, 0x20000)]}
+    return {c: x for c, x in found.items() if x != chr(c).lower()}
+
+
+class WordLevelCodec(splitting.Encoder):
     """Encodes and decodes as the tokenizers library does with the given word-end BPE file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        self.path = path
-        self.added = [t["content"] for t in spec["added_tokens"]]
         symbols = {b: c for c, b in byte_symbols().items()}
         inner = np.array([vocab[symbols[b]] for b in range(256)], dtype=np.int64)
         final = np.array([vocab[symbols[b] + END] for b in range(256)], dtype=np.int64)
@@ -145,7 +154,7 @@ class WordLevelCodec:
                 rows.append(row)
             return merges.apply(rows)
 
-        self.words = splitting.WordTable(encode)
+        super().__init__(spec["added_tokens"], splitting.word_level_spans, splitting.WordTable(encode), self.lowered)
         size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         spelled = [b""] * size
         for token, i in [*vocab.items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
@@ -154,34 +163,14 @@ class WordLevelCodec:
         self.token_starts = np.cumsum(self.token_counts) - self.token_counts
         self.token_bytes = np.frombuffer(b"".join(spelled), dtype=np.uint8)
 
-    @functools.cached_property
-    def library(self):
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(self.path)
-        found.no_truncation()
-        found.no_padding()
-        return found
-
     @staticmethod
-    def normalised(text: str) -> str:
+    def lowered(text: str) -> str:
         """NFC, then each character's own lower case (a sigma at a word's end is one like others)."""
         if text.isascii():
             return text.lower()
         if not unicodedata.is_normalized("NFC", text):  # the library's own tables decide what it composes
             text = NFC.normalize_str(text)
-        return text.replace("Σ", "σ").lower()
-
-    def encode(self, texts: list[str]):
-        """Yields the ids of each text; texts with an added token or a doubtful code point go through the library."""
-        for a, b in kernels.chunks(texts):
-            part = texts[a:b]
-            odd = {i for i, t in enumerate(part) if any(x in t for x in self.added)}
-            ids, counts, doubtful = splitting.encoded(["" if i in odd else self.normalised(t) for i, t in enumerate(part)], splitting.word_level_spans, self.words)
-            odd |= doubtful
-            ends = np.cumsum(counts)
-            for i, (s, e) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
-                yield np.array(self.library.encode(part[i], add_special_tokens=False).ids, dtype=np.uint32) if i in odd else ids[s:e]
+        return text.replace("Σ", "σ").translate(lower_cased()).lower()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' spellings with a blank between them, in UTF-8: the file names no decoder."""
@@ -199,7 +188,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         c = codec(tokenizer)
-        for batch in batches:
+        for batch in kernels.parts(batches):
             ids = list(c.encode(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([i.tolist() for i in ids], pa.list_(pa.int64())), pa.array([c.decode(i).decode() for i in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -212,7 +201,7 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         c = codec(tokenizer)
-        for batch in batches:
+        for batch in kernels.parts(batches):
             n, a, b = [], [], []
             for ids in c.encode(batch.column("text").to_pylist()):
                 n.append(len(ids))

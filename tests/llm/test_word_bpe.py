@@ -57,3 +57,22 @@ def test_any_text(kind, texts):
         assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
         if kind == "word":
             assert made.decode(ids).decode() == lib.decode(ids.tolist(), skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_every_code_point(kind):
+    path = catalog.WORD_TOKENIZER if kind == "word" else catalog.BYTE_TOKENIZER
+    made, lib = codec(path) if kind == "word" else encoder(path), library(path)
+    points = [c for c in range(0x33000) if not 0xD800 <= c < 0xE000] + [0x50000, 0xE0001, 0xE0100, 0xF0000, 0x10FFFF]
+    texts = ["".join(f"{chr(c)}a 1{chr(c)}{chr(c)}b" for c in points[a : a + 500]) for a in range(0, len(points), 500)]
+    for t, ids in zip(texts, made.encode(texts)):
+        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_long_texts_and_added_tokens_take_the_index(monkeypatch):
+    import tokenizers
+
+    text = ("Some <|endoftext|>words<|startoftext|><|endoftext|> and 12 more. " * 20_000) + "<|startoftext|>"
+    wanted = library(catalog.WORD_TOKENIZER).encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokenizers.Tokenizer, "encode", None, raising=False)
+    assert [i.tolist() for i in codec(catalog.WORD_TOKENIZER).encode(["", text, "<|endoftext|>"])] == [[], wanted, [49407]]
