@@ -19,7 +19,7 @@ SCHEMA = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
         # names that operators use themselves
-        *[T.StructField(c, T.IntegerType()) for c in ("h1", "salt", "rank", "pos", "gaps", "rep", "shard", "score", "pii", "kept", "component_id", "length", "a", "b", "th", "doc", "start")],
+        *[T.StructField(c, T.IntegerType()) for c in ("h1", "salt", "rank", "pos", "gaps", "rep", "shard", "score", "pii", "kept", "component_id", "length", "a", "b", "th", "doc", "start", "row", "own", "own_hash", "text_hash", "place", "made", "_doc", "_own", "_hash", "_text_hash", "_gaps", "_made", "_place", "_kept", "mixed", "arc", "at", "range", "salt2")],
     ]
 )
 #: Every case but null ids and repeated ids.
@@ -50,7 +50,7 @@ ODD = [*PLAIN, (None, SENTENCE * 3), (None, None), (4, "word"), (6, SENTENCE * 3
 
 
 def frame(spark, rows, partitions=3):
-    filled = [(i, t, None if k % 3 else "en", None if k % 2 else "web", None if k % 4 == 1 else len(t or ""), *[7] * 17) for k, (i, t) in enumerate(rows)]
+    filled = [(i, t, None if k % 3 else "en", None if k % 2 else "web", None if k % 4 == 1 else len(t or ""), *[7] * (len(SCHEMA) - 5)) for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(filled, SCHEMA).repartition(partitions)
 
 
