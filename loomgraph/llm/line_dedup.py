@@ -8,9 +8,10 @@ only one summary a run meets those of its other salts. What goes is returned to
 compressed keep bitmap (the numbers of kept lines between dropped ones); no text takes part until
 `without_repeats` applies the bitmaps.
 
-Defined cases: a null or empty text is one empty line; rows equal in doc_id and text are one document
-and lose the same lines, rows of one doc_id with other texts are further documents; a null doc_id is
-below all others; an empty table gives no rows; further columns are not looked at.
+Defined cases: a null or empty text is one empty line; a very long text gives a row for each of its lines;
+of equal lines of the last document all stay; rows equal in doc_id and text are one document and lose
+the same lines, rows of one doc_id with other texts are further documents; a null doc_id is below all
+others; an empty table gives no rows; further columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def text() -> Column:
-    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+def text(column: str = "text") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def lines() -> Column:
-    return F.split(text(), "\n", -1)
+def lines(column: str = "text") -> Column:
+    return F.split(text(column), "\n", -1)
 
 
 def key(line: Column) -> Column:
@@ -50,18 +51,26 @@ def hashed_lines(docs: DataFrame, min_chars: int, salts: int) -> DataFrame:
 
 
 def bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts: int = 32) -> DataFrame:
-    """doc_id, text_hash and gaps (kept lines before each dropped one) of the documents that lose lines."""
-    found = common.cut(hashed_lines(docs, min_chars, salts))
+    """doc_id, text_hash and gaps (kept lines before each dropped one) of the documents that lose lines.
+
+    A hash that many documents hold is dealt out over `salts` runs, or as many as there are shuffle
+    partitions, and every occurrence meets the summary of its own run.
+    """
+    salts = max(salts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = common.cut(hashed_lines(docs, min_chars, salts), splits=4)
+    run_key = ["h1", "h2", "salt"]
     order = [F.desc_nulls_last("doc_id"), "text_hash"]
-    ranged = found.select("h1", "h2", "salt", "doc_id", "text_hash").repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", *order)
-    run = Window.partitionBy("h1", "h2", "salt").orderBy(*order)
+    ranged = found.repartitionByRange(*run_key).sortWithinPartitions(*run_key, *order, "pos")
+    run = Window.partitionBy(*run_key).orderBy(*order)
     # both run along the sorted rows: nothing of a run is held back
-    streamed = ranged.select("h1", "h2", "salt", F.first("doc_id").over(run).alias("first_doc"), F.dense_rank().over(run).alias("documents"))
-    runs = streamed.groupBy("h1", "h2", "salt").agg(F.max("documents").alias("documents"), F.max("first_doc").alias("first_doc"))
-    shared = runs.groupBy("h1", "h2").agg(F.sum("documents").alias("documents"), F.max("first_doc").alias("stays")).where(F.col("documents") >= min_docs).select("h1", "h2", "stays")
+    streamed = ranged.select(*run_key, F.first("doc_id").over(run).alias("first_doc"), F.dense_rank().over(run).alias("documents"))
+    runs = streamed.groupBy(*run_key).agg(F.max("documents").alias("documents"), F.max("first_doc").alias("first_doc"))
+    line = Window.partitionBy("h1", "h2")
+    summed = runs.select(*run_key, F.sum("documents").over(line).alias("documents"), F.max("first_doc").over(line).alias("stays"))
+    shared = summed.where(F.col("documents") >= min_docs).select(*run_key, "stays")
     # where no document has an id, none is the largest, and nothing goes
     goes = F.coalesce(F.col("doc_id") < F.col("stays"), F.col("stays").isNotNull())
-    dropped = found.join(shared, ["h1", "h2"]).where(goes)
+    dropped = found.join(shared, run_key).where(goes)
     at = dropped.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     gaps = F.transform("at", lambda p, i: p - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("at"), i - 1) + 1))
     return at.select("doc_id", "text_hash", gaps.alias("gaps"))
@@ -69,14 +78,18 @@ def bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts: int
 
 def without_repeats(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, salts: int = 32) -> DataFrame:
     """docs with the remaining text, and the columns n_lines, n_dropped and gaps (replaced if there)."""
-    marks = bitmaps(docs, min_chars, min_docs, salts).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("gaps").alias("_gaps"))
-    rows = docs.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_text_hash", F.xxhash64(text()))
-    joined = rows.join(marks, F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    flags = F.flatten(F.transform("_gaps", lambda g: F.array_append(F.array_repeat(F.lit(True), g), F.lit(False))))
-    left = F.array_join(F.zip_with(lines(), flags, lambda line, keep: F.when(F.coalesce(keep, F.lit(True)), line)), "\n")
-    kept = F.when(F.col("_gaps").isNull(), text()).otherwise(left)
-    counted = joined.withColumn("n_lines", F.size(lines()).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_gaps"), F.lit(0)).cast("long")).withColumn("gaps", F.col("_gaps"))
-    return counted.withColumn("text", kept).drop("_own", "_text_hash", "_doc", "_hash", "_gaps")
+    marks = bitmaps(docs, min_chars, min_docs, salts)
+    rows = docs.select(common.whole(docs).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(text()).alias("own_hash"))
+    joined = rows.join(marks, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    flags = F.flatten(F.transform("gaps", lambda g: F.array_append(F.array_repeat(F.lit(True), g), F.lit(False))))
+    left = F.array_join(F.zip_with(lines("row.text"), flags, lambda line, keep: F.when(F.coalesce(keep, F.lit(True)), line)), "\n")
+    made = {
+        "text": F.when(F.col("gaps").isNull(), text("row.text")).otherwise(left),
+        "n_lines": F.size(lines("row.text")).cast("long"),
+        "n_dropped": F.coalesce(F.size("gaps"), F.lit(0)).cast("long"),
+        "gaps": F.col("gaps"),
+    }
+    return common.unpacked(joined, docs.columns, made)
 
 
 ORACLE = f"""
