@@ -14,9 +14,10 @@ across components that their sketches leave possible are compared on the full se
 task, and only links that join components are given out. No link is left out that could change the
 result; pairs within one component cannot.
 
-Defined cases: a null or empty text has no shingles and no links; a null doc_id takes no part and is
-kept; rows with one doc_id are one document in links, whatever their texts, each row with its own number
-of shingles; an empty table gives no rows; further columns are not looked at.
+Defined cases: a null or empty text has no shingles and no links; a very long text has all its shingles;
+of equal sets the least doc_id stands for them, and the least hash of its texts; a null doc_id takes no
+part and is kept; rows with one doc_id are one document in links, whatever their texts, each row with its
+own number of shingles; an empty table gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from loomgraph.llm import common, kernels
 from loomgraph.llm.components import components
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Places over which the sets of a bucket are dealt out when they meet what is known of it.
+SALTS = 16
 
 
 def sketches(elements: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
@@ -66,11 +69,6 @@ def least_share(percent: int, t: int) -> float:
     return p - 6 * np.sqrt(max(p * (1 - p), 0.01) / t)
 
 
-def _texts(batch: pa.RecordBatch):
-    column = batch.column("text").cast(pa.binary())
-    return column.to_pylist()
-
-
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the text's hash, which tell the rows apart."""
     return common.text_of(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -80,8 +78,8 @@ def described(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """Of each row: its text's hash, n_shingles, two halves of its set's fingerprint, its band keys and one byte of each bin."""
 
     def run(batches):
-        for batch in batches:
-            texts = _texts(batch)
+        for batch in kernels.parts(batches):
+            texts = kernels.raw(batch)
             for a, b in kernels.chunks(texts):
                 h, counts = kernels.shingle_sets(texts[a:b], k)
                 ends = np.concatenate(([0], np.cumsum(counts)))
@@ -102,8 +100,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """The sorted shingle hashes of each text as bytes."""
 
     def run(batches):
-        for batch in batches:
-            texts = _texts(batch)
+        for batch in kernels.parts(batches):
+            texts = kernels.raw(batch)
             for a, b in kernels.chunks(texts):
                 h, counts = kernels.shingle_sets(texts[a:b], k)
                 ends = np.cumsum(counts)
@@ -217,6 +215,13 @@ def _labels(reps: DataFrame, links: DataFrame) -> DataFrame:
     return reps.join(of, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
 
+def _met(members: DataFrame, of: DataFrame) -> DataFrame:
+    """members with what is known of their buckets; a bucket that very many share meets them in SALTS places."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    places = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(places, ["bucket", "salt"]).drop("salt")
+
+
 def _set_links(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The described rows, the distinct sets (f1, f2, rep, doc_id, text_hash) and the links (a, b) of sets.
 
@@ -224,15 +229,15 @@ def _set_links(docs: DataFrame, k: int, percent: int, bands: int, rows: int) ->
     text_hash are those of the row that stands for it.
     """
     t = bands * rows
-    narrow = common.cut(described(docs, k, bands, rows))
+    narrow = common.cut(described(docs, k, bands, rows), splits=2)
     prints = narrow.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # rows with equal sets: the smallest doc_id, then the smallest hash, stands for the set
     firsts = prints.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_hash")).alias("_first")).select("f1", "f2", "_first.*")
     firsts = common.cut(firsts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "f1", "f2").withColumn("rep", F.monotonically_increasing_id()))
     by_set = common.cut(prints.join(firsts, ["f1", "f2", "doc_id", "text_hash"]).select("rep", "keys", "sketch").dropDuplicates(["rep"]))
     members = by_set.select("rep", F.explode("keys").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader != last").select("bucket", "leader")
-    members = common.cut(members.join(shared, "bucket"))
+    shared = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader != last")
+    members = common.cut(_met(members, shared.select("bucket", "leader")))
     sketched = by_set.select("rep", "sketch")
     stars = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     stars = common.cut(_possible(stars, sketched, percent, t))
@@ -244,10 +249,10 @@ def _set_links(docs: DataFrame, k: int, percent: int, bands: int, rows: int) ->
     labels = common.cut(_labels(wanted, links))
     labelled = members.select("bucket", "rep").join(labels, "rep")
     several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = common.cut(labelled.join(several, "bucket"))
+    rest = common.cut(_met(labelled, several))
     # classes that share an unresolved bucket, directly or by further buckets, are one group
     heads = rest.groupBy("bucket").agg(F.min("rep").alias("a"))
-    groups = components(rest.join(heads, "bucket").select("a", F.col("rep").alias("b")).where("a != b").distinct())
+    groups = components(_met(rest, heads).select("a", F.col("rep").alias("b")).where("a != b").distinct())
     rest = rest.select("rep", "component").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
     rest = rest.join(sketched, "rep").join(sets, "rep")
     return narrow, firsts, common.cut(links.unionByName(_across(rest, percent, t)))

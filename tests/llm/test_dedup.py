@@ -32,6 +32,16 @@ def test_lines_of_odd_documents(spark):
     assert set(frame(spark, []).columns) <= set(line_dedup.without_repeats(frame(spark, ODD), 20, 3).columns)
 
 
+def test_lines_of_repeated_ids(spark):
+    """Documents are distinct pairs of doc_id and text; a line stays in those of the largest doc_id."""
+    line = "a line of more than twenty characters"
+    rows = [(3, line), (3, line), (3, line + "\nelse"), (1, line + "\n" + line), (None, line + "\nnull"), (3, "else")]
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.without_repeats(frame(spark, rows), 20, 3).collect()), key=str)
+    assert got == sorted([(3, 1, 0, line), (3, 1, 0, line), (3, 2, 0, line + "\nelse"), (1, 2, 2, ""), (None, 2, 1, "null"), (3, 1, 0, "else")], key=str)
+    few = [(None, line), (None, line + "\n1"), (None, line + "\n2")]
+    assert {r.n_dropped for r in line_dedup.without_repeats(frame(spark, few), 20, 3).collect()} == {0}
+
+
 def test_hot_line_is_dropped_from_all_but_the_last(spark):
     rows = [(i, "a line that all of them have in common\nown " + str(i)) for i in range(200)]
     got = {r.doc_id: r.text for r in line_dedup.without_repeats(frame(spark, rows), 20, 3).collect()}
@@ -94,6 +104,27 @@ def test_ids_with_several_texts(spark):
         assert sorted(got, key=str) == sorted(((i, t is not None, wanted[i], wanted[i] == i) for i, t in rows), key=str)
 
 
+def test_repeated_ids_by_brute_force(spark):
+    """Rows link by their sets or by their doc_id; the component is the least doc_id."""
+    found = [(i, t, shingles(t, 3)) for i, t in ODD]
+    part = list(range(len(found)))
+    for _ in found:
+        for x, (i, _, s) in enumerate(found):
+            for y, (j, _, r) in enumerate(found):
+                if i is not None and j is not None and s and r and (i == j or 100 * len(s & r) >= 85 * len(s | r)):
+                    part[x] = part[y] = min(part[x], part[y])
+    least = {p: min(found[y][0] for y in range(len(found)) if part[y] == p and found[y][0] is not None) for p in set(part) if found[p][0] is not None}
+    wanted = sorted(((i, len(s), None if i is None else least[part[x]] if s else i) for x, (i, _, s) in enumerate(found)), key=str)
+    got = near_dup.classes(frame(spark, ODD), 3, 85, 32, 5).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == wanted
+
+
+def test_one_id_with_the_least_text_of_two_classes(spark):
+    rows = [(1, "a b c d e f"), (1, "x y z w v u"), (5, "x y z w v u"), (6, "a b c d e f")]
+    got = near_dup.classes(frame(spark, rows), 3, 85, 32, 5).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False)]
+
+
 def test_chains_and_blocks_of_near_copies(spark):
     rng = random.Random(5)
     base = [f"t{i}" for i in range(60)]
