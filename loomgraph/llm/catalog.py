@@ -51,7 +51,7 @@ def op3_gif_media(spark, sf_dir):
 
 @query
 def op4_line_dedup(spark, sf_dir):
-    kept = line_dedup.without_repeats(common.documents(spark, sf_dir), min_chars=20, min_docs=3)
+    kept = line_dedup.without_repeats(common.documents(spark, sf_dir).select("doc_id", "text"), min_chars=20, min_docs=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -68,7 +68,7 @@ def op8_quality_nbsvm(spark, sf_dir):
 
 @query
 def op6_pii_pseudonyms(spark, sf_dir):
-    docs = pii.pseudonymised(common.documents(spark, sf_dir).select("doc_id", "text"))
+    docs = pii.pseudonymised(common.documents(spark, sf_dir).select("doc_id", "text"), pii.key_of(spark))
     return docs.select("doc_id", "text", F.size("pii").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"))
 
 

@@ -222,7 +222,8 @@ def shown(width: int, height: int, frames: list[Frame]):
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
-        h, w = min(len(f.samples), height - f.top), min(f.samples.shape[1], width - f.left)
+        # what lies beyond the canvas is not shown
+        h, w = max(min(len(f.samples), height - f.top), 0), max(min(f.samples.shape[1], width - f.left), 0)
         part = canvas[f.top : f.top + h, f.left : f.left + w]
         samples = f.samples[:h, :w]
         table = np.full((256, 4), (0, 0, 0, 255), dtype=np.uint8)

@@ -1,8 +1,9 @@
 """Texts as GIF columns: stored losslessly as samples, read back as timed frames with colour histograms.
 
-Defined cases: a null text is empty and takes one row of blanks; repeated rows and null ids are
-stored like others; a null or broken stream has no frames; an empty table gives no rows; further
-columns are not looked at.
+Defined cases: a null text is empty and takes one row of blanks; a very long text takes as many frames as
+it needs; repeated rows, equal texts and null ids are stored like others; a null or broken stream has no
+frames, and what a frame has beyond the canvas is not shown; an empty table gives no rows; further columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm import common, gif
+from loomgraph.llm import common, gif, kernels
 
 WIDTH = 192
 #: Rows in a frame; longer texts take further frames.
@@ -46,8 +47,8 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id and the GIF stream of every document's text."""
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+        for batch in kernels.parts(batches):
+            texts = kernels.raw(batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([stored(payload(t)) for t in texts], pa.binary())], ["doc_id", "media"])
 
     return common.text_of(docs).mapInArrow(run, "doc_id long, media binary")
@@ -82,9 +83,9 @@ def digests(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        for batch in batches:
+        for batch in kernels.parts(batches):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), kernels.raw(batch)):
                 media = stored(payload(text))
                 back, feature = described(media)
                 rows.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))

@@ -9,9 +9,10 @@ pseudonyms can be turned back.
 Kinds: payment cards (Luhn), IBANs (modulo 97), US phone and social security numbers, IPv4 addresses,
 ISO dates from 1900 to 2099, e-mail addresses (their local part), access keys and secret tokens.
 
-Defined cases: a null text stays null and an empty one empty; what fails validation stays as it is;
-repeated rows and null ids are treated like others; an empty table gives no rows; further columns
-are kept.
+Defined cases: a null text stays null and an empty one empty; a very long text is gone through whole; what
+fails validation stays as it is; where two kinds begin at one place, the first of KINDS counts; repeated
+rows and null ids are treated like others; an empty table gives no rows; further columns, whatever their
+names, are kept.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ import functools
 import hashlib
 import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm import common
+
 ROUNDS = 10
+MADE = pa.struct({"text": pa.string(), "pii": pa.list_(pa.struct({"kind": pa.string(), "start": pa.int32(), "end": pa.int32()}))})
 
 
 def _product(radices) -> int:
@@ -83,20 +87,30 @@ def _digits(text: str) -> list[int]:
     return [int(c) for c in text if "0" <= c <= "9"]
 
 
+def _series(d: list[int]) -> bool:
+    """Whether numbers of cards begin so: with 3 to 6, or with 2221 to 2720."""
+    return d[0] in (3, 4, 5, 6) or 2221 <= d[0] * 1000 + d[1] * 100 + d[2] * 10 + d[3] <= 2720
+
+
 def _card(text: str, key: bytes) -> str | None:
     d = _digits(text)
-    if d[0] not in (3, 4, 5, 6) or luhn(d) % 10 or len(set(d)) == 1:
+    if not _series(d) or luhn(d) % 10 or len(set(d)) == 1:
         return None
-    body = [d[0], *permuted("card", d[1:-1], [10] * (len(d) - 2), key)]
+    body = [d[0], *_walk("card", d[1:-1], [10] * (len(d) - 2), key, lambda x: _series([d[0], *x]))]
     return _filled(text, [*body, -luhn([*body, 0]) % 10])
 
 
+def _phone_valid(d: list[int]) -> bool:
+    """Area and exchange begin with 2 to 9 and do not end in 11."""
+    return all(part[0] > 1 and part[1:] != [1, 1] for part in (d[:3], d[3:6]))
+
+
 def _phone(text: str, key: bytes) -> str | None:
     d = _digits(text)
-    country = d[:-10]
-    if country not in ([], [1]):
+    country, own = d[:-10], d[-10:]
+    if country not in ([], [1]) or not _phone_valid(own):
         return None
-    return _filled(text, country + permuted("phone", d[-10:], [10] * 10, key))
+    return _filled(text, country + _walk("phone", own, [10] * 10, key, _phone_valid))
 
 
 def _ssn_valid(d: list[int]) -> bool:
@@ -220,14 +234,23 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int, str]
     return "".join([*parts, text[at:]]), found
 
 
-def pseudonymised(docs: DataFrame, key: bytes = b"loomgraph") -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session names in spark.loomgraph.pii.key; one that is known to all, fit for trials
+    only, where it names none."""
+    return (spark.conf.get("spark.loomgraph.pii.key", None) or "loomgraph").encode()
+
+
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with pseudonyms in the text, and the column pii (replaced if there): an array of kind,
     start and end (code points of the old text) of what was replaced."""
 
-    @F.pandas_udf("text string, pii array<struct<kind: string, start: int, end: int>>")
-    def run(text: pd.Series) -> pd.DataFrame:
-        rows = [(None, []) if t is None else replaced(t, key) for t in text]
-        return pd.DataFrame({"text": [r[0] for r in rows], "pii": [[{"kind": k, "start": s, "end": e} for k, s, e, _ in r[1]] for r in rows]})
+    @F.arrow_udf("struct<text: string, pii: array<struct<kind: string, start: int, end: int>>>")
+    def run(text: pa.Array) -> pa.Array:
+        rows = []
+        for t in text:  # one text at a time as a Python object
+            made, found = (None, []) if not t.is_valid else replaced(t.as_py(), key)
+            rows.append({"text": made, "pii": [{"kind": k, "start": s, "end": e} for k, s, e, _ in found]})
+        return pa.array(rows, MADE)
 
-    made = docs.withColumn("_made", run(F.col("text").cast("string")))
-    return made.withColumn("text", F.col("_made.text")).withColumn("pii", F.col("_made.pii")).drop("_made")
+    made = docs.select(common.whole(docs).alias("row"), run(F.col("text").cast("string")).alias("made"))
+    return common.unpacked(made, docs.columns, {"text": F.col("made.text"), "pii": F.col("made.pii")})

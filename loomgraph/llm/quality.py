@@ -6,12 +6,14 @@ is scaled by its log-count ratio between the classes, the features of a document
 length one, and a linear model is fitted by dual coordinate descent. Margins become scores by a
 logistic curve that meets the cut-off at the margin where out-of-fold predictions are best.
 
-Training rows: the labelled documents allowed for it, at most `sample` of them, chosen by hash.
-
-Defined cases: a null or empty text is scored by the model's bias; labels other than 0 and 1 are left
-out and of several labels of a document the largest counts; without training rows of both classes
-every score is that class's own (0.5 without any); repeated rows get equal scores; an empty table
-gives no rows; further columns are not looked at.
+Training rows: the labelled documents allowed for it, at most `sample` of them, chosen by hash, and of
+those as many as have FEATURES indicators together (134 MB on the driver, however long texts are).
+
+Defined cases: a null or empty text is scored by the model's bias; a very long text has at most 2**17
+indicators; labels other than 0 and 1 are left out and of several labels of a document the largest counts;
+without training rows of both classes every score is that class's own (0.5 without any); of cuts with
+equally few errors the middle one is taken; repeated rows get equal scores; an empty table gives no rows;
+further columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph.llm import common, kernels
 
 BITS = 17
 SIZE = 1 << BITS
 CUTOFF = 0.7
+#: Indicators of all training rows together, at most.
+FEATURES = 1 << 25
 #: Documents looked at together: the table of their indicators takes GROUP * SIZE bytes.
 GROUP = 128
 
@@ -173,12 +178,12 @@ def fit(rows: list[np.ndarray], quality: np.ndarray, folds: int = 3) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Indicators and labels of at most `sample` documents, chosen by hash, in order of that hash."""
+    """Indicators and labels of at most `sample` documents and FEATURES indicators, chosen by hash, in order of that hash."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+        for batch in kernels.parts(batches):
+            texts = kernels.raw(batch)
             rows = []
             for _, n, owner, feature in indicators(texts):
                 cuts = np.searchsorted(owner, np.arange(n + 1))
@@ -186,19 +191,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "features"])
 
     # `chosen` has at most `sample` rows of two numbers
-    found = common.text_of(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, features binary").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).collect()
-    return [np.frombuffer(r["features"], dtype=np.int32).astype(np.int64) for r in found], np.array([r["quality"] for r in found], dtype=np.int64)
+    order = [F.xxhash64("doc_id"), "doc_id", "features"]
+    rows = common.text_of(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, features binary").orderBy(*order).limit(sample)
+    so_far = F.sum(F.octet_length("features") / 4).over(Window.orderBy(*order))  # of `sample` rows at most
+    found = rows.withColumn("so_far", so_far).where(F.col("so_far") <= FEATURES).select("quality", "features").collect()
+    return [np.frombuffer(r["features"], dtype=np.int32) for r in found], np.array([r["quality"] for r in found], dtype=np.int64)
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     """docs with the columns score and predicted (replaced if there), from a model of `labels`."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, sample)))
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        return pd.Series(shared.value.scores([(t or "").encode("utf-8", "replace") for t in text]), dtype="float64")
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
+        parts = [shared.value.scores(kernels.raw(part)) for part in kernels.parts([batch])]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return docs.withColumn("score", score(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))
 

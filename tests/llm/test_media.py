@@ -60,7 +60,11 @@ def test_query(spark):
         assert (r.n_bytes, r.payload_bytes) == (len(text), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
-        assert r.media_bytes > 0 and r.feature
+        levels = [sum(b >> 6 == q for b in payload) if len(payload) <= 192 * 256 else None for q in range(4)]
+        size = f"192x{min(256, len(payload) // 192)};frames={-(-len(payload) // 49152)};ms={100 * -(-len(payload) // 49152)};grey="
+        assert r.media_bytes > 0 and r.feature.startswith(size)
+        if None not in levels:  # one frame: the brightness of the payload's own bytes
+            assert r.feature == size + ",".join(map(str, levels))
     assert not got
 
 
@@ -86,3 +90,29 @@ def test_disposal_and_transparency():
     assert seen[3][1, 1].tolist() == [0, 0, 0, 0]
     with pytest.raises(ValueError):
         gif.read(b"not a stream")
+
+
+@pytest.mark.parametrize("place", [(5, 0), (0, 9), (70, 70), (1, 1)])
+def test_frames_beyond_the_canvas(spark, place):
+    stream = bytearray(gif.write([np.full((3, 10), 255, dtype=np.uint8)]))
+    stream[6:10] = (2).to_bytes(2, "little") * 2  # the canvas is 2 by 2
+    at = stream.index(b"\x2c\0\0\0\0")
+    stream[at + 1 : at + 5] = place[0].to_bytes(2, "little") + place[1].to_bytes(2, "little")
+    rows = media.frames(spark.createDataFrame([(1, bytearray(stream))], "doc_id long, media binary")).collect()
+    assert len(rows) == 1 and (rows[0].width, rows[0].height) == (2, 2)
+    assert sum(rows[0].histogram) == (1 if place == (1, 1) else 0)
+
+
+def test_histograms_by_counting(spark):
+    """Colours of several frames, counted pixel by pixel on a canvas kept by hand."""
+    rng = np.random.default_rng(8)
+    palette = rng.integers(0, 256, (256, 3)).astype(np.uint8)
+    images = [rng.integers(0, 256, (5, 7)).astype(np.uint8) for _ in range(3)]
+    row = [bytearray(gif.write(images, palette, 70))]
+    got = sorted(media.frames(spark.createDataFrame([(1, *row)], "doc_id long, media binary")).collect(), key=lambda r: r.frame)
+    for k, (r, image) in enumerate(zip(got, images)):
+        wanted = [0] * 64
+        for sample in image.reshape(-1):
+            red, green, blue = (int(c) // 64 for c in palette[sample])
+            wanted[16 * red + 4 * green + blue] += 1
+        assert r.histogram == wanted and (r.start_ms, r.delay_ms) == (70 * k, 70)

@@ -58,6 +58,8 @@ def test_odd_documents(spark):
     assert lines.count() == len(ODD) and lines.columns == docs.columns
     near = pipeline.near_duplicates(spark, docs, SF)
     assert near.columns == docs.columns and near.where("doc_id is null").count() == 2
+    for made in (lines, near, pipeline.pseudonyms(spark, docs, SF), pipeline.quality_filter(spark, docs, SF)):
+        assert {x for r in made.select(*docs.columns[5:]).distinct().collect() for x in r} <= {7}
 
 
 def test_a_row_goes_only_for_its_own_class(spark):
