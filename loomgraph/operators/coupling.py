@@ -11,7 +11,9 @@ def couplings(commits: DataFrame, commit: str = "commit_id", file: str = "file_p
 
     Commits of more than `max_files` files count for nothing, so a commit gives a bounded number of pairs.
     """
-    sets = commits.select(F.col(commit).alias("c"), F.col(file).alias("f")).groupBy("c").agg(F.collect_set("f").alias("fs")).where(F.size("fs") <= max_files)
+    files = commits.select(F.col(commit).alias("c"), F.col(file).alias("f")).where("f is not null").distinct()
+    small = files.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_files).select("c")  # counted before they are gathered
+    sets = files.join(small, "c", "left_semi").groupBy("c").agg(F.collect_list("f").alias("fs"))
     single = sets.select(F.explode("fs").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
     first = sets.select(F.array_sort("fs").alias("fs")).select("fs", F.posexplode("fs").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("fs", F.col("i") + 2, F.lit(max_files))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_count)

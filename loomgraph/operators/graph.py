@@ -11,19 +11,33 @@ from loomgraph.operators.checkpoint import cut
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """nodes with in_degree, out_degree and total_degree; both sides are counted before they are joined."""
+    """nodes with in_degree, out_degree and total_degree; both are counted in one pass before they are joined."""
+    return _with_degrees(nodes, _ends(edges, types))
+
+
+def _ends(edges: DataFrame, types: list[str] | None) -> DataFrame:
+    """A row for each end of each edge: id, and 1 in in_degree or out_degree."""
     used = edges.where(F.col("type").isin(types)) if types else edges
-    ins = used.groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("in_degree"))
-    outs = used.groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
-    joined = nodes.join(ins, "id", "left").join(outs, "id", "left").fillna(0, ["in_degree", "out_degree"])
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    into = F.struct(F.col("target_id").alias("id"), one.alias("in_degree"), none.alias("out_degree"))
+    from_ = F.struct(F.col("source_id").alias("id"), none.alias("in_degree"), one.alias("out_degree"))
+    return used.select(F.explode(F.array(into, from_)).alias("end")).select("end.*")
+
+
+def _with_degrees(nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    counts = ends.groupBy("id").agg(F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
+    joined = nodes.join(counts, "id", "left").fillna(0, ["in_degree", "out_degree"])
     return joined.withColumn("total_degree", F.col("in_degree") + F.col("out_degree"))
 
 
 def search(nodes: DataFrame, edges: DataFrame, *, label: str = "", name: str = "", qualified_name: str = "", file: str = "", relationship: list[str] | None = None, min_degree: int | None = None, max_degree: int | None = None, exclude_entry_points: bool = False) -> DataFrame:
-    """Nodes that match all patterns, with degrees; without order and page."""
+    """Nodes that match all patterns, with degrees; without order and page. Only their edges are counted."""
     patterns = {"label": label, "name": name, "qualified_name": qualified_name, "file_path": file}
     found = nodes.where(match.all_of([match.like(F.col(c), p) for c, p in patterns.items() if p]))
-    found = degrees(found, edges, relationship)
+    ends = _ends(edges, relationship)
+    if any(patterns.values()):
+        ends = ends.join(found.select("id"), "id", "left_semi")
+    found = _with_degrees(found, ends)
     if min_degree is not None:
         found = found.where(F.col("total_degree") >= min_degree)
     if max_degree is not None:
@@ -72,12 +86,20 @@ def _oriented(edges: DataFrame, direction: str, types: list[str] | None) -> Data
 def distances(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """id and dist of all nodes within `depth` of any start (a column id), level by level.
 
-    With a cap, no level is begun once more nodes than that are known. Each level is a join of the new
-    nodes alone and is kept in the shared folder; while they are few, the edges are not shuffled.
+    With a cap, no level is begun once more nodes than that are known. The steps are written once, dealt
+    out by where they begin, so a level joins its new nodes to them without moving them again.
     """
-    steps = _oriented(edges, direction, types).select("near", "far").where("near != far")
-    known = cut(starts.select("id").distinct().withColumn("dist", F.lit(0)))
-    front = known
+    return _walked(_steps(edges, direction, types), starts, depth, cap)
+
+
+def _steps(edges: DataFrame, direction: str, types: list[str] | None) -> DataFrame:
+    """near, far and edge of all steps in the shared folder, dealt out by near."""
+    return cut(_oriented(edges, direction, types).repartition("near"))
+
+
+def _walked(oriented: DataFrame, starts: DataFrame, depth: int, cap: int | None) -> DataFrame:
+    steps = oriented.select("near", "far").where("near != far")
+    known = front = cut(starts.select("id").distinct().withColumn("dist", F.lit(0)))
     for level in range(1, depth + 1):
         if cap is not None and known.count() > cap:
             break
@@ -85,13 +107,14 @@ def distances(edges: DataFrame, starts: DataFrame, depth: int, direction: str =
         front = cut(found.join(known, "id", "left_anti").withColumn("dist", F.lit(level)))
         if front.isEmpty():
             break
-        known = cut(known.unionByName(front))
+        known = known.unionByName(front)
     return known
 
 
 def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Each edge once, with the depth it is first met at in a breadth-first walk."""
-    dist = distances(edges, starts, depth, direction, types, cap)
+    oriented = _steps(edges, direction, types)
+    dist = _walked(oriented, starts, depth, cap)
     reach = dist
     if cap is not None:
         per = dist.groupBy("dist").agg(F.count(F.lit(1)).alias("n")).collect()  # at most depth + 1 rows
@@ -102,7 +125,7 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "
             if total > cap:
                 break
         reach = dist.where(F.col("dist") < max(last, 0)) if total > cap else dist
-    seen = _oriented(edges, direction, types).join(reach.withColumnRenamed("id", "near"), "near")
+    seen = oriented.join(reach.withColumnRenamed("id", "near"), "near")
     first = seen.groupBy("edge").agg((F.min("dist") + 1).alias("depth")).where(F.col("depth") <= depth)
     return edges.join(first.withColumnRenamed("edge", "id"), "id")
 
@@ -130,7 +153,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: in
 
     Each node carries its two nearest distinct seeds, which is enough to tell its nearest other seed.
     """
-    steps = _oriented(edges, "both", None).select("near", "far").where("near != far")
+    steps = _steps(edges, "both", None).select("near", "far").where("near != far")
     two = Window.partitionBy("id").orderBy("hop", "seed")
     near = cut(seeds.select("id").distinct().select("id", F.col("id").alias("seed"), F.lit(0).alias("hop")))
     for level in range(1, depth + 1):

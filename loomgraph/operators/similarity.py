@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The keywords that stay as they are, and the signs of a token.
 KEYWORDS = "async await break case catch class const continue def else enum export fn for from function if impl import in interface let match new pub return struct switch trait try type use var while".split()
 PIECES = r"""(#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)|("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)|(\d[\w.]*)|([A-Za-z_]\w*)|(->|=>|::|==|!=|<=|>=|&&|\|\||[^\s\w])"""
 PRIME = 2_147_483_659

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.operators.checkpoint import cut
 from loomgraph.operators.similarity import base_hash
 
+# Groups of words that stand for each other, and words that stand for nothing.
 SYNONYMS = [
     "send publish emit dispatch enqueue message event task".split(),
     "route handler endpoint controller".split(),
@@ -68,6 +70,7 @@ def _met(tokens: DataFrame, vectors: DataFrame, key: str, token: str, vector: st
     kept = tokens.select(F.col(key).alias("_key"), F.col(token).alias("_token")).where("_token is not null").distinct()
     whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
     kept = kept.join(vectors.where(whole).select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("_vector")), "_key")
+    kept = cut(kept)  # tokens and vectors are read once
     sizes = kept.groupBy("_token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     placed = kept.join(sizes, "_token").withColumn("own", F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))

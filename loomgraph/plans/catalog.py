@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import match, rules
 from loomgraph.operators import coupling, cypher, enrich, graph, incremental, resolve, similarity, text_search, vectors
+from loomgraph.operators.checkpoint import cut
 from loomgraph.plans import views
 from loomgraph.plans.views import BASE, GRAPH, SYMBOLS
 from loomgraph.streaming import watch
@@ -338,7 +339,7 @@ select a, b, ({equal}) / {K} as jaccard from pairs join sigs x on x.id = a join
 def minhash_near_dups(spark, sf_dir):
     c = views.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text_search.tokens(F.col("text")).alias("t")).where(F.size("t") >= 3)
     grams = c.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.array_join(F.slice("t", i, F.lit(3)), " ")))).alias("gram"))
-    return similarity.similar_pairs(similarity.signatures(grams, "id", "gram", K), "id", BANDS, 0.5)
+    return similarity.similar_pairs(cut(similarity.signatures(grams, "id", "gram", K)), "id", BANDS, 0.5)  # texts are hashed once
 
 
 def _dot(a: str, b: str) -> str:
