@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 from loomgraph.operators import cypher, graph, incremental, text_search, vectors
+from loomgraph.operators.checkpoint import cut
 from loomgraph.plans import ingest
 from loomgraph.sources import files as sources
 from loomgraph.sources.store import Store
@@ -17,26 +18,58 @@ from loomgraph.sources.store import Store
 class Engine:
     """Projects below a folder that all executors can reach."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, ignore_files: tuple[str, ...] = (".gitignore",), languages: str = ""):
+        """ignore_files: names of the files with patterns of what to leave out; languages: entries such as
+        `.x=python` for extensions, which come first."""
         self.spark, self.store = spark, Store(spark, folder)
+        self.ignore_files, self.languages = ignore_files, sources.extension_map(languages)
 
     # ingest
 
-    def index_repository(self, repo_path: str, project: str, mode: str = "full") -> DataFrame:
-        """Reads, extracts, resolves and stores; returns the project's row of list_projects()."""
-        found = sources.discover(self.spark, repo_path, fast=mode != "full", table=sources.ignore_rules(repo_path))
-        side = f"{repo_path.rstrip('/')}/.loomgraph/resolutions.json"
-        overrides = sources.resolutions(self.spark, side) if os.path.exists(side) else None
-        nodes, edges = ingest.build(found, project, sources.commits(self.spark, repo_path), overrides)
+    def index_repository(self, repo_path: str, project: str, mode: str = "full", most_nodes: int | None = None, most_edges: int | None = None) -> DataFrame:
+        """Reads, extracts, resolves and stores; returns the project's row of list_projects().
+
+        Modes: full; moderate, which passes over generated and lock files; fast, which also makes no passes and
+        reads no overlay. A project that is stored already is brought up to date from its changed files,
+        unless it has grown by more than half. Everything is made before anything stored is replaced.
+        """
+        found = cut(self._discovered(repo_path, mode))
+        side = lambda name: f"{repo_path.rstrip('/')}/.loomgraph/{name}.json"
+        overrides = sources.resolutions(self.spark, side("resolutions")) if os.path.exists(side("resolutions")) else None
+        commits, passes = sources.commits(self.spark, repo_path), mode != "fast"
+        states = self._states(found, project)
+        if states is None:
+            nodes, edges = ingest.build(found, project, commits, overrides, passes)
+        elif states.where("state != 'same'").isEmpty():
+            return self.list_projects().where(F.col("name") == project)
+        else:
+            nodes, edges = ingest.rebuilt(found, project, states, *self._graph(project), commits, overrides, passes)
+        nodes, edges = cut(nodes), cut(edges)
+        ingest.guarded(nodes, edges, most_nodes, most_edges)
         docs = found.select(F.lit(project).alias("project"), "file_path", "language", "size", "mtime", F.col("content").alias("text"))
         for table, rows in (("nodes", nodes), ("edges", edges), ("documents", docs)):
             self.store.replace(table, rows)
+        if passes and os.path.exists(side("symbols")):
+            _, symbols, occurrences = sources.overlay(self.spark, side("symbols"))
+            for table, rows in (("overlay_symbols", symbols), ("overlay_occurrences", occurrences)):
+                self.store.replace(table, rows.withColumn("project", F.lit(project)))
         return self.list_projects().where(F.col("name") == project)
 
+    def _discovered(self, repo_path: str, mode: str = "full") -> DataFrame:
+        return sources.discover(self.spark, repo_path, fast=mode != "full", table=sources.ignore_rules(repo_path, self.ignore_files), overrides=self.languages)
+
+    def _states(self, found: DataFrame, project: str) -> DataFrame | None:
+        """rel_path and state of the files found against what is stored, if that is to be brought up to date."""
+        if not self.store.has("documents", project):
+            return None
+        shape = lambda df: df.select(F.col("file_path").alias("rel_path"), "size", "mtime")
+        stored = shape(self.store.read("documents", project))
+        return cut(incremental.classify(stored, shape(found))) if incremental.is_incremental(stored, found) else None
+
     def changed(self, repo_path: str, project: str) -> DataFrame:
         """rel_path and state of the repository's files against what is stored."""
         shape = lambda df: df.select(F.col("file_path").alias("rel_path"), "size", "mtime")
-        return incremental.classify(shape(self.store.read("documents", project)), shape(sources.discover(self.spark, repo_path, table=sources.ignore_rules(repo_path))))
+        return incremental.classify(shape(self.store.read("documents", project)), shape(self._discovered(repo_path)))
 
     def ingest_traces(self, project: str, traces: list) -> int:
         """Only counts what it is given."""
@@ -53,7 +86,7 @@ class Engine:
         return asked.join(self.list_projects(), "name", "left").select("name", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("status", F.lit("not_found")).alias("status"))
 
     def delete_project(self, project: str) -> None:
-        for table in ("nodes", "edges", "documents"):
+        for table in ("nodes", "edges", "documents", "overlay_symbols", "overlay_occurrences"):
             self.store.delete(table, project)
 
     def manage_adr(self, project: str, mode: str = "get", content: str = "") -> DataFrame:
@@ -107,9 +140,19 @@ class Engine:
         return found.select("way", "name", "qualified_name", "hop", "risk", rules.is_test_file(F.col("file_path")).alias("is_test")).orderBy("way", "hop", "name", "qualified_name")
 
     def get_code_snippet(self, project: str, qualified_name: str) -> DataFrame:
-        """The source of one symbol, or suggestions without source where several match."""
+        """The source of one symbol, or suggestions without source where several match; what the graph does
+        not have is looked up by file and name, then in the overlay. LookupError where nothing has it."""
         nodes, edges = self._graph(project)
-        found = text_search.snippet(nodes.where("label not in ('Project', 'Folder')"), qualified_name)
+        own = nodes.where("label not in ('Project', 'Folder')")
+        found = text_search.snippet(own, qualified_name)
+        if found.isEmpty():
+            found = text_search.by_stem(own, qualified_name)
+        if found.isEmpty() and self.store.has("overlay_symbols", project):
+            symbols = self.store.read("overlay_symbols", project).select("project", F.xxhash64("symbol").alias("id"), "label", "name", "qualified_name", F.col("rel_path").alias("file_path"), "start_line", "end_line")
+            method = F.col("match_method")
+            found = text_search.snippet(symbols, qualified_name).withColumn("match_method", F.when(method == "exact", "overlay").when(method == "suffix", "overlay_suffix").otherwise(method))
+        if found.isEmpty():
+            raise LookupError(f"no symbol is called {qualified_name}")
         calls = graph.degrees(found, edges, ["CALLS"]).withColumnsRenamed({"in_degree": "callers", "out_degree": "callees"})
         texts = self.store.read("documents", project).select("file_path", "text")
         source = F.when(F.col("match_method") != "ambiguous", text_search.slice_lines(F.col("text"), F.col("start_line"), F.col("end_line")))
@@ -140,10 +183,14 @@ class Engine:
         }
         return {a: made[a]() for a in (made if "all" in aspects else aspects)}
 
-    def search_code(self, project: str, pattern: str, mode: str = "compact", file_pattern: str = "", path_filter: str = "", regex: bool = False, limit: int = 25, context: int = 0) -> DataFrame:
-        """Matching lines by symbol (compact), with source (full), or by file (files)."""
+    def search_code(self, project: str, pattern: str, mode: str = "compact", file_pattern: str = "", path_filter: str = "", regex: bool = False, limit: int = 25, context: int = 0, counts: bool = False) -> DataFrame:
+        """Matching lines by symbol (compact), with source (full), or by file (files); with `counts` one row of
+        how many lines and symbols match in all, the share of lines folded away, and whether there are more."""
         docs, nodes = self.store.read("documents", project).select("file_path", "text"), self.store.read("nodes", project)
         hits = text_search.grep(docs, pattern, regex, path_filter, file_pattern)
+        if counts:
+            found = text_search.folded(text_search.by_symbol(text_search.attributed(hits, nodes)))
+            return text_search.hit_counts(hits, found, limit)
         if mode == "files":
             return graph.histogram(hits, "file_path").orderBy("file_path").limit(limit)
         found = text_search.ranked(text_search.folded(text_search.by_symbol(text_search.attributed(hits, nodes))), limit)

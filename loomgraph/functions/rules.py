@@ -106,11 +106,24 @@ LANGUAGES = {
 }
 
 
-def language(path: Column, overrides: dict[str, str] | None = None) -> Column:
-    """The language of a file by its extension, or null; overrides by extension come first."""
-    table = LANGUAGES | (overrides or {})
-    ext = F.lower(F.regexp_extract(basename(path), r"\.([^.]+)$", 1))
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), ext)
+# Languages by whole file name, and words that tell apart the languages of files that end in .m.
+FILE_NAMES = {"Dockerfile": "dockerfile", "Makefile": "makefile", "CMakeLists.txt": "cmake"}
+OBJECTIVE_C = ["@interface", "@implementation", "@protocol", "@property", "#import", "@encode"]
+MAGMA = ["theorem", "induction", "theorems", "import Mathlib", "classical", "lemma"]
+
+
+def language(path: Column, overrides: dict[str, str] | None = None, content: Column | None = None) -> Column:
+    """The language of a file by its name or extension, or null; overrides by extension come first, and what
+    ends in .m is told by its first 4096 characters."""
+    name = basename(path)
+    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    by = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    out = F.coalesce(by(FILE_NAMES, name), by(LANGUAGES, ext))
+    if content is not None:
+        head = F.substring(content, 1, 4096)
+        has = lambda words: any_of([head.contains(w) for w in words])
+        out = F.when(ext == "m", F.when(has(OBJECTIVE_C), "objc").when(has(MAGMA), "magma").otherwise("matlab")).otherwise(out)
+    return F.coalesce(by(overrides, ext), out) if overrides else out
 
 
 def package(path: Column) -> Column:

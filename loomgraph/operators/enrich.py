@@ -47,6 +47,7 @@ def config_links(keys: DataFrame, symbols: DataFrame) -> DataFrame:
 def dependency_links(variables: DataFrame, imports: DataFrame) -> DataFrame:
     """Manifest variables and what is imported under their name (0.95) or with it in the qualified name (0.80)."""
     names = variables.where(rules.basename(F.col("file_path")).isin(MANIFESTS)).select(F.col("id").alias("target_id"), "name")
+    names = names.where(F.char_length("name") > 0)
     equal = names.join(imports.select(F.col("id").alias("source_id"), "name", "qualified_name"), "name").select("source_id", "target_id", F.lit(0.95).alias("confidence"))
     parts = imports.select(F.col("id").alias("source_id"), F.col("name").alias("own"), F.explode(F.array_distinct(F.split("qualified_name", r"[./:]+"))).alias("name"))
     inside = parts.join(names, "name").where("own != name").select("source_id", "target_id", F.lit(0.80).alias("confidence"))
@@ -77,9 +78,9 @@ def topic_summary(topics: DataFrame) -> DataFrame:
 
 
 def routes_of_calls(calls: DataFrame) -> DataFrame:
-    """Calls (source_id, callee, first_string) to services, as edges to routes by qualified name."""
+    """Calls (source_id, callee, first_string) to services, as edges to routes by qualified name, with the broker."""
     kind = rules.service_kind(F.col("callee"))
     path = F.col("first_string").startswith("/") | F.col("first_string").rlike("^https?://")
     method = F.when(kind == "async_broker", F.lit("TOPIC")).otherwise(F.coalesce(rules.http_method(F.col("callee")), F.lit("ANY")))
     edge = F.when(kind == "http_client", "HTTP_CALLS").when(kind == "async_broker", "ASYNC_CALLS").when(kind == "route_registration", "HANDLES").when(path, "HTTP_CALLS")
-    return calls.where("first_string is not null").select("source_id", edge.alias("type"), F.concat(F.lit("__route__"), method, F.lit("__"), "first_string").alias("route")).where("type is not null")
+    return calls.where("first_string is not null").select("source_id", edge.alias("type"), F.concat(F.lit("__route__"), method, F.lit("__"), "first_string").alias("route"), F.when(kind == "async_broker", rules.broker(F.col("callee"))).alias("broker")).where("type is not null")

@@ -102,11 +102,3 @@ def routes(lines: DataFrame) -> DataFrame:
     method = F.regexp_extract("code", pattern, 1)
     return lines.withColumn("path", F.regexp_extract("code", pattern, 2)).where("path != ''").select("file_path", "line", F.when(method == "route", "ANY").otherwise(F.upper(method)).alias("method"), "path")
 
-
-def scoped(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Rows (file_path, line) with the innermost definition that holds them: its name and label."""
-    s = symbols.select("file_path", F.col("name").alias("scope"), F.col("label").alias("scope_label"), "start_line", "end_line")
-    numbered = rows.withColumn("_row", F.xxhash64(*rows.columns))
-    inside = numbered.join(s, "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    best = inside.groupBy("_row").agg(F.max_by(F.struct("scope", "scope_label"), F.struct(F.col("start_line"), -F.col("end_line"), "scope")).alias("_s"))
-    return numbered.join(best, "_row", "left").select(*rows.columns, "_s.scope", "_s.scope_label")

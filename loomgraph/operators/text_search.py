@@ -138,6 +138,30 @@ def snippet(nodes: DataFrame, wanted: str, limit: int = 10) -> DataFrame:
     exact = nodes.where(F.col("qualified_name") == wanted).withColumn("match_method", F.lit("exact"))
     suffix = nodes.where(match.ends_like(F.col("qualified_name"), wanted) & (F.col("qualified_name") != wanted)).withColumn("match_method", F.lit("suffix"))
     both = exact.unionByName(suffix)
-    counted = both.withColumn("_exact", F.sum(F.when(F.col("match_method") == "exact", 1).otherwise(0)).over(Window.partitionBy())).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
+    sums = both.agg(F.count_if(F.col("match_method") == "exact").alias("_exact"), F.count(F.lit(1)).alias("_all"))
+    counted = both.crossJoin(F.broadcast(sums))  # a single row
     chosen = counted.where((F.col("_exact") == 0) | (F.col("match_method") == "exact"))
     return chosen.withColumn("match_method", F.when((F.col("_exact") == 0) & (F.col("_all") > 1), "ambiguous").otherwise(F.col("match_method"))).drop("_exact", "_all").orderBy("qualified_name", "id").limit(limit)
+
+
+def by_stem(nodes: DataFrame, wanted: str) -> DataFrame:
+    """The one symbol of `path.name` whose file is called so but for its extension; none where several are."""
+    stem, _, name = wanted.rpartition(".")
+    bare = F.regexp_replace("file_path", r"\.[^./]*$", "")
+    near = (bare == stem) | bare.endswith(f"/{stem}") | (F.translate(bare, "/", ".") == stem) | F.translate(bare, "/", ".").endswith(f".{stem}")
+    found = nodes.where((F.col("name") == name) & near & F.lit(bool(stem and name)))
+    alone = found.agg(F.count(F.lit(1)).alias("_n"))
+    return found.crossJoin(F.broadcast(alone)).where("_n = 1").drop("_n").withColumn("match_method", F.lit("suffix"))  # a single row
+
+
+def hit_counts(hits: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """One row: total_lines, total (symbols), dedup_ratio (the share of lines that symbols save) and has_more."""
+    lines_ = hits.agg(F.count(F.lit(1)).alias("total_lines"))
+    symbols = found.agg(F.count(F.lit(1)).alias("total"))
+    ratio = F.when(F.col("total_lines") > 0, 1 - F.col("total") / F.col("total_lines")).otherwise(0.0)
+    return lines_.crossJoin(symbols).select("total_lines", "total", ratio.alias("dedup_ratio"), (F.col("total") > limit).alias("has_more"))  # two single rows
+
+
+def candidates(docs: DataFrame, terms: list[list[str]], limit: int, key: str = "file_path") -> DataFrame:
+    """The keys of the documents that rank best for a search: eight for each row asked for, 32 at least."""
+    return bm25(docs, terms, key).orderBy("rank", key).limit(max(8 * limit, 32)).select(key)

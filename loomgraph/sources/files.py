@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import rules
 
+# What is no source of a project.
 SKIPPED_DIRS = [".git", ".hg", ".svn", ".idea", ".vscode", ".cache", ".turbo", ".next", "node_modules", "dist", "build", "target", "out", ".github"]
 SKIPPED_NAMES = ["package.json", "tsconfig.json"]
 FAST_NAMES = ["LICENSE", "license", "go.sum", "go.work.sum", "yarn.lock", "package-lock.json", "pnpm-lock.yaml", "pnpm-lock.yml"]
-BINARY = "png jpg jpeg gif ico webp bmp pdf zip gz tar tgz bz2 xz 7z jar war class o a so dylib dll exe bin wasm woff woff2 ttf eot mp3 mp4 mov avi pyc pyo db sqlite parquet".split()
+BINARY = "png jpg jpeg gif svg ico pyc class o obj so dll dylib a zip gz tgz bz2 7z exe bin jar dat mp3 mp4 mov avi woff woff2".split()
 MAX_BYTES = 8 * 1024 * 1024
 
 
@@ -50,15 +51,29 @@ def discover(spark: SparkSession, root: str, fast: bool = False, table: list[tup
     rows = raw.select(path.alias("file_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content").where(F.col("size") <= MAX_BYTES)
     skipped = F.col("file_path").rlike("(^|/)(" + "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS) + ")/")
     name = rules.basename(F.col("file_path"))
-    bad = skipped | name.isin(SKIPPED_NAMES + (FAST_NAMES if fast else [])) | F.lower("file_path").rlike(r"\.(" + "|".join(BINARY) + ")$")
+    bad = skipped | name.isin(SKIPPED_NAMES + (FAST_NAMES if fast else [])) | F.col("file_path").rlike(r"\.(" + "|".join(BINARY) + ")$")
     if fast:
         bad = bad | name.rlike(r"(\.d\.ts|\.pb\.go)$")
     kept = rows.where(~bad & ~ignored(F.col("file_path"), table or []))
-    return kept.select("file_path", rules.language(F.col("file_path"), overrides).alias("language"), "size", "mtime", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    texts = kept.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+    language = rules.language(F.col("file_path"), overrides, F.col("content"))
+    return texts.select("file_path", language.alias("language"), "size", "mtime", "content")
 
 
-def _git(root: str, *args: str) -> str:
+def extension_map(text: str) -> dict[str, str]:
+    """Languages by extension from entries such as `.x=python,y=go`; the first of an extension counts."""
+    out: dict[str, str] = {}
+    for key, sign, value in (entry.partition("=") for entry in text.split(",")):
+        if sign and key.strip():
+            out.setdefault(key.strip().lstrip(".").lower(), value.strip().lower())
+    return out
+
+
+def _git(root: str, *args: str, needed: bool = False) -> str:
+    """What git prints; where it fails, nothing, or ValueError with its words if the answer is needed."""
     done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True)
+    if done.returncode and needed:
+        raise ValueError(f"git {args[0]}: {done.stderr.strip()}")
     return done.stdout if done.returncode == 0 else ""
 
 
@@ -84,9 +99,10 @@ def since_commit(root: str, since: str) -> str:
 
 
 def changed_files(spark: SparkSession, root: str, base: str = "main", since: str | None = None) -> DataFrame:
-    """file_path and place of what differs from the base or in the work tree, each once."""
+    """file_path and place of what differs from the base or in the work tree, each once; ValueError where
+    git does not know the base."""
     start = since_commit(root, since) if since else base
-    found = _git(root, "diff", "--name-only", f"{start}...HEAD").splitlines() + _git(root, "diff", "--name-only", "HEAD").splitlines()
+    found = _git(root, "diff", "--name-only", f"{start}...HEAD", needed=True).splitlines() + _git(root, "diff", "--name-only", "HEAD", needed=True).splitlines()
     return spark.createDataFrame([(p, i) for i, p in enumerate(dict.fromkeys(x for x in found if x))], "file_path string, place int")
 
 

@@ -17,6 +17,11 @@ class Store:
         rows = self.spark.read.parquet(f"{self.folder}/{table}")
         return rows.where(F.col("project") == project) if project is not None else rows
 
+    def has(self, table: str, project: str) -> bool:
+        """Whether the project has a partition of this table."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/project={project}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def replace(self, table: str, rows: DataFrame) -> None:
         """Replaces the partitions of the projects in rows, and no others."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(f"{self.folder}/{table}")

@@ -5,7 +5,8 @@ import subprocess
 import pytest
 
 from loomgraph.api import Engine
-from loomgraph.operators import coupling, cypher
+from loomgraph.operators import coupling, cypher, resolve
+from loomgraph.plans import ingest
 from loomgraph.sources import files as sources
 from loomgraph.streaming import watch
 
@@ -72,7 +73,7 @@ def test_edges(engine):
     assert ("run", "/api/users") in edges(engine, "HTTP_CALLS")
     assert any(b == "/api/users" for _, b in edges(engine, "HANDLES"))
     assert any(a == "run" for a, _ in edges(engine, "DATA_FLOWS"))
-    assert any(a == "emit" for a, _ in edges(engine, "EMITS"))
+    assert edges(engine, "EMITS") == {("emit", "__event__celery__mail.sent")}
     assert ("load", "AppError") in edges(engine, "RAISES")
     assert ("apiBaseUrl", "api-base-url") in edges(engine, "CONFIGURES")
     assert edges(engine, "FILE_CHANGES_WITH") == {("main.py", "util.py")}
@@ -119,6 +120,94 @@ def test_changes(engine, repo, spark):
     assert sources.since_commit(str(repo), "HEAD")
 
 
+def as_sets(engine, project):
+    nodes = {r.id: (r.label, r.qualified_name.replace(project, "p"), r.start_line, r.end_line) for r in engine.store.read("nodes", project).collect()}
+    return set(nodes.values()), {(r.type, nodes[r.source_id][1], nodes[r.target_id][1]) for r in engine.store.read("edges", project).collect()}
+
+
+def test_a_new_index_follows_the_changed_files(spark, repo, tmp_path, monkeypatch):
+    import shutil
+
+    root = tmp_path / "tree"
+    shutil.copytree(repo, root)
+    made = Engine(spark, str(tmp_path / "store"))
+    made.index_repository(str(root), "p")
+    before = as_sets(made, "p")
+    monkeypatch.setattr(ingest, "build", None)  # from here on only what changed is extracted
+    made.index_repository(str(root), "p")
+    assert as_sets(made, "p") == before
+    (root / "app/util.py").write_text(FILES["app/util.py"] + "\n\ndef more():\n    helper(3)\n    requests.post('/api/more')\n")
+    (root / "app/extra.py").write_text("from app.util import helper\n\n\ndef extra():\n    helper(4)\n")
+    (root / "web/app.js").unlink()
+    made.index_repository(str(root), "p")
+    monkeypatch.undo()
+    after = as_sets(made, "p")
+    Engine(spark, str(tmp_path / "other")).index_repository(str(root), "p")
+    assert after == as_sets(Engine(spark, str(tmp_path / "other")), "p")
+    names = {q for _, q, *_ in after[0]}
+    assert any(q.endswith(":more") for q in names) and not any("web/app.js" in q for q in names) and any(q.endswith("folder:web") for q in names)
+    shutil.rmtree(root / "web")
+    made.index_repository(str(root), "p")
+    assert not any("web" in q for _, q, *_ in as_sets(made, "p")[0])
+
+
+def test_modes_limits_and_overlay(spark, repo, tmp_path):
+    import json
+    import shutil
+
+    root = tmp_path / "tree"
+    shutil.copytree(repo, root)
+    (root / ".loomgraph").mkdir()
+    symbol = {"symbol": "pkg a.py/thing#", "display_name": "", "kind": "struct", "start_line": 4}
+    found = {"documents": [{"rel_path": "app/util.py", "language": "python", "symbols": [symbol, {"symbol": "x.y", "qualified_name": "far.away.y", "kind": "function", "start_line": 1, "end_line": 2}], "occurrences": []}]}
+    (root / ".loomgraph/symbols.json").write_text(json.dumps(found))
+    call = {"caller_qualified_name": "p:app/main.py:python:symbol:python:run", "callee_name": "helper", "full_callee_name": "", "resolved_qualified_name": "p:app/test_util.py:python:symbol:python:test_helper", "confidence": 0.7}
+    (root / ".loomgraph/resolutions.json").write_text(json.dumps({"documents": [{"rel_path": "app/main.py", "language": "go", "resolved_calls": [call]}]}))
+    made = Engine(spark, str(tmp_path / "store"))
+    with pytest.raises(ingest.GraphTooLarge):
+        made.index_repository(str(root), "p", most_nodes=3)
+    assert not made.store.has("nodes", "p")  # nothing is replaced before all is made
+    made.index_repository(str(root), "p", mode="fast")
+    assert not edges(made, "SIMILAR_TO") and edges(made, "CALLS") and not made.store.has("overlay_symbols", "p")
+    made.delete_project("p")
+    made.index_repository(str(root), "p")
+    assert ("run", "test_helper") in edges(made, "CALLS") and ("run", "helper") not in edges(made, "CALLS")  # the side file comes first
+    assert edges(made, "SIMILAR_TO")
+    assert made.get_code_snippet("p", "app.util.helper").first().match_method == "suffix"  # by file and name
+    row = made.get_code_snippet("p", "far.away.y").first()
+    assert (row.match_method, row.name, row.source) == ("overlay", "y", "LIMIT = 3\n")
+    assert made.get_code_snippet("p", "away.y").first().match_method == "overlay_suffix"
+    assert made.get_code_snippet("p", "pkg a.py/thing#").first().label == "Class"
+    with pytest.raises(LookupError):
+        made.get_code_snippet("p", "nowhere.at.all")
+    counts = made.search_code("p", "total = total", limit=1, counts=True).first()
+    assert counts.total == 2 and counts.has_more and counts.total_lines > 4 and 0 < counts.dedup_ratio < 1
+
+
+def test_languages_of_names_and_contents(spark, tmp_path):
+    texts = {"Dockerfile": "x", "Makefile": "x", "a.m": "@interface A", "b.m": "theorem t", "c.m": "x = 1", "d.q": "x", "e.svg": "x", "f.PNG": "x"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    table = sources.extension_map(" .q = Python, q=go,bad,=x")
+    got = {r.file_path: r.language for r in sources.discover(spark, str(tmp_path), overrides=table).collect()}
+    assert got == {"Dockerfile": "dockerfile", "Makefile": "makefile", "a.m": "objc", "b.m": "magma", "c.m": "matlab", "d.q": "python", "f.PNG": None}
+
+
+def test_a_wrong_base_is_told(engine, repo):
+    with pytest.raises(ValueError):
+        engine.detect_changes("p", str(repo), "no-such-branch")
+
+
+def test_bindings_lead_the_ladder(spark):
+    symbols = [(1, "load", "lib.io.load", "Function", "lib/io.py", 1), (2, "load", "app.load", "Function", "app/a.py", 5), (3, "Reader", "lib.io.Reader", "Class", "lib/io.py", 9), (4, "load", "other.load", "Function", "b.py", 2)]
+    table = spark.createDataFrame(symbols, "id long, name string, qualified_name string, label string, file_path string, start_line int")
+    refs = [(1, "io.load", "app/a.py", None), (2, "rd", "app/a.py", None), (3, "load", "app/a.py", None), (4, "io.load", "b.py", None), (5, "x.load", "c.py", "Function"), (6, "nothing", "c.py", None), (7, "lib.io.load", "c.py", None)]
+    asked = spark.createDataFrame(refs, "ref_id long, name string, file_path string, preferred_label string")
+    bound = spark.createDataFrame([("app/a.py", "io", "lib.io"), ("app/a.py", "rd", "lib.io.Reader")], "file_path string, alias string, namespace string")
+    got = {r.ref_id: (r.id, r.strategy) for r in resolve.resolve(asked, table, bound).collect()}
+    assert got == {1: (1, "import_namespace"), 2: (3, "import_alias"), 3: (2, "same_file"), 4: (1, "qualified_suffix"), 5: (2, "preferred_label"), 7: (1, "exact")}
+
+
 def test_projects(engine):
     engine.manage_adr("p", "update", "# One\ntext\n## Two\n")
     engine.manage_adr("p", "update", "# Three\n")
