@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.operators.checkpoint import cut
+
 # The keywords that stay as they are, and the signs of a token.
 KEYWORDS = "async await break case catch class const continue def else enum export fn for from function if impl import in interface let match new pub return struct switch trait try type use var while".split()
 PIECES = r"""(#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/)|("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`[^`]*`)|(\d[\w.]*)|([A-Za-z_]\w*)|(->|=>|::|==|!=|<=|>=|&&|\|\||[^\s\w])"""
@@ -64,19 +66,26 @@ def estimate(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def similar_pairs(sigs: DataFrame, key: str, bands: int = 32, threshold: float = 0.95, hot: int = 200) -> DataFrame:
+def similar_pairs(sigs: DataFrame, key: str, bands: int = 32, threshold: float = 0.95, hot: int | None = 200) -> DataFrame:
     """a < b and jaccard of the signatures that share a band and reach the threshold.
 
-    Buckets of more than `hot` members are passed over, as in the operator this one follows.
+    Buckets of more than `hot` members are passed over, as in the operator this one follows. With None no
+    bucket is; then rows with equal signatures are one class: each is paired with the least of its class,
+    and only those least ones are compared.
     """
+    if hot is None:
+        classes = cut(sigs.groupBy("sig").agg(F.min(key).alias("rep")))
+        copies = sigs.join(classes, "sig").where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("jaccard"))
+        sigs = classes.select(F.col("rep").alias(key), "sig")
     rows = F.size("sig") / bands
     keyed = sigs.select(key, "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.slice("sig", (i * rows).cast("int") + 1, rows.cast("int")))).alias("band", "part"))
     bucket = keyed.select(F.col(key).alias("id"), "band", F.xxhash64("part").alias("bucket"))
-    used = bucket.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, hot)).select("band", "bucket")
+    used = bucket.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, hot or 1 << 62)).select("band", "bucket")
     kept = bucket.join(used, ["band", "bucket"])
     pairs = kept.withColumnRenamed("id", "a").join(kept.withColumnRenamed("id", "b"), ["band", "bucket"]).where("a < b").select("a", "b").distinct()
     left, right = sigs.select(F.col(key).alias("a"), F.col("sig").alias("_x")), sigs.select(F.col(key).alias("b"), F.col("sig").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", estimate(F.col("_x"), F.col("_y")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", estimate(F.col("_x"), F.col("_y")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return found if hot is not None else found.unionByName(copies)
 
 
 def similar_edges(pairs: DataFrame, files: DataFrame, limit: int = 10) -> DataFrame:

@@ -196,20 +196,14 @@ def bm25_prefix_and(spark, sf_dir):
     return found.orderBy("rank", "doc_id").limit(50).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
-@query(f"{_bm25(['the']).replace('with t', f'with {SYMBOLS}, t', 1)} select s.doc_id, s.name, s.label, round(r.rank - case s.label when 'Function' then 10 when 'Class' then 5 else 0 end, 6) as rank from symbols s join ranked r using (doc_id) where s.label != 'Module' and s.end_line <= 12")
-def bm25_label_boost(spark, sf_dir):
-    ranked = text_search.bm25(_docs(spark, sf_dir), text_search.query_terms("the"))
-    return text_search.search_nodes(ranked, views.symbols(spark, sf_dir).where("end_line <= 12"), "doc_id").select("doc_id", "name", "label", F.round("rank", 6).alias("rank"))
-
-
-@query(ORACLES["bm25_label_boost"].removesuffix(" and s.end_line <= 12"))
+@query(f"{_bm25(['the']).replace('with t', f'with {SYMBOLS}, t', 1)} select s.doc_id, s.name, s.label, round(r.rank - case s.label when 'Function' then 10 when 'Class' then 5 else 0 end, 6) as rank from symbols s join ranked r using (doc_id) where s.label != 'Module'")
 def bm25_label_boost_whole(spark, sf_dir):
     """Symbols of every line of a document."""
     ranked = text_search.bm25(_docs(spark, sf_dir), text_search.query_terms("the"))
     return text_search.search_nodes(ranked, views.symbols(spark, sf_dir), "doc_id").select("doc_id", "name", "label", F.round("rank", 6).alias("rank"))
 
 
-ATTRIBUTED = f"with {SYMBOLS}, hits as (select * from lines where contains(content, 'the ')), spans as (select h.doc_id, h.line, s.id, s.name, s.label, s.start_line, s.end_line, row_number() over (partition by h.doc_id, h.line order by s.end_line - s.start_line nulls last, s.name desc, s.id) as place from hits h left join symbols s on s.doc_id = h.doc_id and s.label != 'Module' and h.line between s.start_line and s.end_line), owned as (select doc_id, line, coalesce(id, doc_id * 1000) as symbol_id, case when id is null then concat('m', doc_id) else name end as name, case when id is null then 'Module' else label end as label, start_line, end_line from spans where place = 1)"
+ATTRIBUTED = f"with {SYMBOLS}, hits as (select * from lines where contains(content, 'the ')), spans as (select h.doc_id, h.line, s.id, s.name, s.label, s.start_line, s.end_line, row_number() over (partition by h.doc_id, h.line order by s.end_line - s.start_line nulls last, s.name desc, s.id) as place from hits h left join symbols s on s.doc_id = h.doc_id and s.label != 'Module' and h.line between s.start_line and s.end_line), owned as (select doc_id, line, coalesce(id, doc_id * 1000000) as symbol_id, case when id is null then concat('m', doc_id) else name end as name, case when id is null then 'Module' else label end as label, start_line, end_line from spans where place = 1)"
 
 
 def _attributed(spark, sf_dir):
@@ -320,26 +314,41 @@ def html_link_edges(spark, sf_dir):
     return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-K, BANDS = 16, 8
+K, BANDS, WORDS = similarity.K, 32, 5
 
 
 def _minhash_sql() -> str:
-    minima = ", ".join(f"min(({a}::BIGINT * h + {b}) % {similarity.PRIME}) as m{i}" for i, (a, b) in enumerate(similarity.permutations(K)))
-    bands = " union all ".join(f"select id, {i} as band, concat(m{2 * i}, '/', m{2 * i + 1}) as part from sigs" for i in range(BANDS))
-    equal = " + ".join(f"(x.m{i} = y.m{i})::INT" for i in range(K))
-    return f"""with w as (select doc_id as id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as t from documents where text is not null),
-g as (select distinct id, array_to_string(t[i:i + 2], ' ') as gram from (select id, t, unnest(range(1, len(t) - 1)) as i from w where len(t) >= 3)),
-hashed as (select id, ('0x' || substr(md5(gram), 1, 7))::BIGINT as h from g), sigs as (select id, {minima} from hashed group by id),
-keyed as ({bands}), used as (select band, part from keyed group by band, part having count(*) between 2 and 200),
-pairs as (select distinct x.id as a, y.id as b from keyed x join keyed y on x.band = y.band and x.part = y.part and x.id < y.id join used u on u.band = x.band and u.part = x.part)
-select a, b, ({equal}) / {K} as jaccard from pairs join sigs x on x.id = a join sigs y on y.id = b where ({equal}) / {K} >= 0.5"""
+    minima = ", ".join(f"min(({a}::BIGINT * h + {b}) % {similarity.PRIME})" for a, b in similarity.permutations(K))
+    equal = f"list_sum(list_transform(range(1, {K + 1}), lambda i: (x.sig[i] = y.sig[i])::INT)) / {K}"
+    return f"""with w as (select doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') as t from documents),
+g as (select distinct id, array_to_string(t[i:i + {WORDS - 1}], ' ') as gram from (select id, t, unnest(range(1, len(t) - {WORDS - 2})) as i from w where len(t) >= {WORDS})),
+hashed as (select id, ('0x' || substr(md5(gram), 1, 7))::BIGINT as h from g), sigs as (select id, [{minima}] as sig from hashed group by id),
+classes as (select sig, min(id) as rep from sigs group by sig),
+keyed as (select rep as id, band, [sig[2 * band + 1], sig[2 * band + 2]] as part from classes, range({BANDS}) r(band)),
+pairs as (select distinct x.id as a, y.id as b from keyed x join keyed y on x.band = y.band and x.part = y.part and x.id < y.id)
+select a, b, {equal} as jaccard from pairs join classes x on x.rep = a join classes y on y.rep = b where {equal} >= 0.8
+union all select rep, id, 1.0 from sigs join classes using (sig) where id != rep"""
 
 
 @query(_minhash_sql())
 def minhash_near_dups(spark, sf_dir):
-    c = views.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text_search.tokens(F.col("text")).alias("t")).where(F.size("t") >= 3)
-    grams = c.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.array_join(F.slice("t", i, F.lit(3)), " ")))).alias("gram"))
-    return similarity.similar_pairs(cut(similarity.signatures(grams, "id", "gram", K)), "id", BANDS, 0.5)  # texts are hashed once
+    """Five-word shingles, 64 minima in 32 bands, 0.8 or more: pairs of the least documents of classes with
+    equal signatures, and each document with the least of its class. No bucket is passed over."""
+    c = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text_search.tokens(F.coalesce("text", F.lit(""))).alias("t")).where(F.size("t") >= WORDS)
+    grams = c.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("t") - (WORDS - 1)), lambda i: F.array_join(F.slice("t", i, F.lit(WORDS)), " ")))).alias("gram"))
+    return similarity.similar_pairs(cut(similarity.signatures(grams, "id", "gram", K)), "id", BANDS, 0.8, hot=None)  # texts are hashed once
+
+
+def _phrase(words: list[str]) -> str:
+    """BM25 of a phrase whose last word is a prefix, token by token."""
+    token = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    at = " and ".join([f"tokens[i + {k}] = '{w}'" for k, w in enumerate(words[:-1])] + [f"starts_with(tokens[i + {len(words) - 1}], '{words[-1]}')"])
+    return f"with t as (select doc_id, {token} as tokens from documents), c as (select doc_id, len(tokens) as dl, len(list_filter(range(1, len(tokens) + 1), lambda i: coalesce({at}, false))) as f from t), s as (select count(*) as n, avg(dl) as avgdl, count(*) filter (where f > 0) as df from c) select doc_id, round(- greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as rank from c, s where f > 0"
+
+
+@query(_phrase(["of", "the"]))
+def bm25_phrase(spark, sf_dir):
+    return text_search.bm25(_docs(spark, sf_dir), text_search.query_terms("of_the")).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
 def _dot(a: str, b: str) -> str:
@@ -384,13 +393,6 @@ def event_activity(spark, sf_dir):
     return watch.activity(views.table(spark, sf_dir, "events"))
 
 
-@query("with e as (select event_id, user_id as source_id, event_id % 40 as target_id, event_type as type from events), f as (select *, row_number() over (partition by source_id, target_id, type order by event_id) as place from e where source_id > 0 and target_id > 0 and target_id < 30) select event_id, source_id, target_id, type from f where place = 1 and source_id in (select distinct user_id from events)")
-def edge_insert_first(spark, sf_dir):
-    e = views.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source_id"), (F.col("event_id") % 40).alias("target_id"), F.col("event_type").alias("type"))
-    known = e.select(F.col("source_id").alias("id")).union(spark.range(1, 30)).distinct()
-    return graph.inserted(e.where("target_id < 30"), known, "event_id")
-
-
 @query("with e as (select event_id, user_id as source_id, event_id % 40 as target_id, event_type as type from events), known as (select user_id as id from events union select unnest(range(1, 30))), f as (select *, row_number() over (partition by source_id, target_id, type order by event_id) as place from e where source_id > 0 and target_id > 0) select event_id, source_id, target_id, type from f where place = 1 and source_id in (select id from known) and target_id in (select id from known)")
 def edge_insert_whole(spark, sf_dir):
     """All events; the known nodes alone decide which edges go."""

@@ -78,17 +78,17 @@ GRAPH = f"{_sql_nodes()}, {_sql_edges()}"
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested spans over the lines of documents: the module, a class of lines 1 to 12, functions of five lines."""
     d = table(spark, sf_dir, "documents").where("text is not null").selectExpr("doc_id", "size(split(text, '\n', -1)) as n")
-    module = d.selectExpr("doc_id", "doc_id * 1000 as id", "concat('m', doc_id) as name", "'Module' as label", "1 as start_line", "n as end_line")
-    outer = d.selectExpr("doc_id", "doc_id * 1000 + 1 as id", "concat('C', doc_id) as name", "'Class' as label", "1 as start_line", "12 as end_line")
-    inner = d.selectExpr("doc_id", "explode(sequence(0, least((n - 1) div 5, 900))) as k").selectExpr("doc_id", "doc_id * 1000 + 2 + k as id", "concat('f', k) as name", "'Function' as label", "cast(k * 5 + 2 as int) as start_line", "cast(k * 5 + 4 as int) as end_line")
+    module = d.selectExpr("doc_id", "doc_id * 1000000 as id", "concat('m', doc_id) as name", "'Module' as label", "1 as start_line", "n as end_line")
+    outer = d.selectExpr("doc_id", "doc_id * 1000000 + 1 as id", "concat('C', doc_id) as name", "'Class' as label", "1 as start_line", "12 as end_line")
+    inner = d.selectExpr("doc_id", "explode(sequence(0, (n - 1) div 5)) as k").selectExpr("doc_id", "doc_id * 1000000 + 2 + k as id", "concat('f', k) as name", "'Function' as label", "cast(k * 5 + 2 as int) as start_line", "cast(k * 5 + 4 as int) as end_line")
     return module.unionByName(outer).unionByName(inner)
 
 
 SYMBOLS = """sized as (select doc_id, len(string_split(text, chr(10))) as n from documents where text is not null),
 symbols as (
- select doc_id, doc_id * 1000 as id, concat('m', doc_id) as name, 'Module' as label, 1 as start_line, n as end_line from sized
- union all select doc_id, doc_id * 1000 + 1, concat('C', doc_id), 'Class', 1, 12 from sized
- union all select doc_id, doc_id * 1000 + 2 + k, concat('f', k), 'Function', k * 5 + 2, k * 5 + 4 from (select doc_id, unnest(range(0, least((n - 1) // 5, 900) + 1)) as k from sized)),
+ select doc_id, doc_id * 1000000 as id, concat('m', doc_id) as name, 'Module' as label, 1 as start_line, n as end_line from sized
+ union all select doc_id, doc_id * 1000000 + 1, concat('C', doc_id), 'Class', 1, 12 from sized
+ union all select doc_id, doc_id * 1000000 + 2 + k, concat('f', k), 'Function', k * 5 + 2, k * 5 + 4 from (select doc_id, unnest(range(0, (n - 1) // 5 + 1)) as k from sized)),
 lines as (select doc_id, unnest(string_split(text, chr(10))) as content, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line from documents where text is not null)"""
 
 
