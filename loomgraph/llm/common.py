@@ -48,6 +48,12 @@ def cut(df: DataFrame, splits: int = 0) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fewer(df: DataFrame, splits: int) -> DataFrame:
+    """What comes from a shuffle and is narrow, with a number of partitions taken one after another by a
+    task, so that a result does not get a small file for each."""
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // splits))
+
+
 def whole(df: DataFrame) -> Column:
     """All columns of df in one, so that no name of theirs can clash with an operator's own."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))

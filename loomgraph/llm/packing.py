@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, separator: int =
             places = [pa.array(p["sequence"][at] + nth, pa.int64()), pa.array(p["offset"][at] + within * length, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *places], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(placed, f"{PIECES}, sequence_id long, offset long")
+    return common.fewer(ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), 4).mapInArrow(placed, f"{PIECES}, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
