@@ -5,7 +5,7 @@ Everything is a Column expression over exploded lines; scopes come from an inter
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,9 +39,29 @@ NOT_CALLS = "if for while switch return await else catch true false new this cla
 STRINGS = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
 
 
+#: What can hold more than a line, by kind of language; then what else must be passed over whole.
+BLOCKS = {
+    ("javascript", "typescript", "tsx", "go", "java", "csharp", "rust"): (r"/\*[\s\S]*?(?:\*/|\z)|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`", r"//[^\n]*+", r"/\*|`"),
+    ("python",): (r"\"\"\"[\s\S]*?(?:\"\"\"|\z)|'''[\s\S]*?(?:'''|\z)", r"#[^\n]*+", r"\"\"\"|'''"),
+}
+WHOLE = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"""
+
+
+def masked(content: Column, language: Column) -> Column:
+    """The text with block comments, and strings over several lines, blanked out but for their line ends, so
+    that lines keep their numbers. Such marks inside ordinary strings and line comments begin nothing."""
+    out = content
+    for languages, (block, comment, marks) in BLOCKS.items():
+        pieces = F.regexp_extract_all(content, F.lit(f"{block}|{comment}|{WHOLE}|[^\"'/`#]++|[\\s\\S]"), F.lit(0))
+        blank = lambda p: F.when(p.rlike(f"^(?:{marks})") & (p.contains("\n") | p.startswith("/*")), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)  # noqa: B023, E731
+        out = F.when(language.isin(*languages) & content.rlike(marks), F.array_join(F.transform(pieces, blank), "")).otherwise(out)
+    return out
+
+
 def source_lines(files: DataFrame) -> DataFrame:
-    """file_path, language, line and code of files with content."""
-    return files.select("file_path", "language", F.posexplode(F.split("content", "\r?\n", -1)).alias("_i", "code")).select("file_path", "language", (F.col("_i") + 1).alias("line"), "code")
+    """file_path, language, line and code of files with content, without what lies in blocks over lines."""
+    code = masked(F.col("content"), F.col("language"))
+    return files.select("file_path", "language", F.posexplode(F.split(code, "\r?\n", -1)).alias("_i", "code")).select("file_path", "language", (F.col("_i") + 1).alias("line"), "code")
 
 
 def definitions(lines: DataFrame) -> DataFrame:
@@ -73,14 +93,17 @@ def imports(lines: DataFrame) -> DataFrame:
 
 
 def calls(lines: DataFrame) -> DataFrame:
-    """file_path, line, callee and the line's first string: names before an opening parenthesis, outside
-    strings and comments, other than keywords and what follows `new`."""
+    """file_path, line, callee and its first string: names before an opening parenthesis, outside strings and
+    comments, other than keywords and what follows `new`. The string is the call's first argument, or the
+    line's first string where the line has no other call."""
     bare = F.regexp_replace(F.regexp_replace(F.col("code"), STRINGS, '""'), r"(#|//).*$", "")
     bare = F.regexp_replace(bare, r"\bnew\s+[\w.]+\s*\(", "(")
     bare = F.regexp_replace(bare, r"^\s*(?:export\s+|pub\s+|async\s+|static\s+)*(?:def|function|func|fn)\s+(?:\([^)]*\)\s*)?[\w$]+\s*\(", "(")
     names = F.regexp_extract_all(bare, F.lit(r"([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("), F.lit(1))
     first = F.regexp_extract("code", r"""["']([^"']*)["']""", 1)
-    made = lines.select("file_path", "line", F.explode(names).alias("callee"), F.when(first != "", first).alias("first_string"))
+    made = lines.select("file_path", "line", "code", F.explode(names).alias("callee"), F.when(F.size(names) == 1, first).alias("_first"))
+    own = F.expr(r"""regexp_extract(code, concat('(?<![\\w$.])\\Q', callee, '\\E\\s*\\(\\s*["\']([^"\']*)["\']'), 1)""")
+    made = made.select("file_path", "line", "callee", F.coalesce(F.nullif(own, F.lit("")), F.nullif("_first", F.lit(""))).alias("first_string"))
     return made.where(~F.substring_index("callee", ".", -1).isin(NOT_CALLS))
 
 

@@ -3,9 +3,10 @@
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.api import Engine
-from loomgraph.operators import coupling, cypher, resolve
+from loomgraph.operators import coupling, cypher, extract, resolve
 from loomgraph.plans import ingest
 from loomgraph.sources import files as sources
 from loomgraph.streaming import watch
@@ -252,3 +253,20 @@ def test_activity_on_a_stream_equals_the_table(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
     watch.activity(stream).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(spark.table("activity").collect()) == sorted(watch.activity(events).collect())
+
+
+def test_blocks_over_lines_hide_no_line_and_give_no_symbol(spark):
+    python = 'def a():\n    """one\n    def hidden():\n        gone()\n    """\n    x = "/* no block"  # \'\'\' nor here\n    b()\n\'\'\'open\nc()\n'
+    script = "/* function old() {\n lost(); */ kept();\nconst u = 'http://x/*y'; // /* not a block\nseen();\nconst t = `\nfunction fake() {\nfaked()`;\nlast(`one ${line}`);\n/* never closed\ngone()"
+    files = spark.createDataFrame([("a.py", "python", python), ("b.js", "javascript", script), ("c.yaml", "yaml", "a: /*\nb: 1"), ("d.py", "python", ""), ("e.js", "javascript", None)], "file_path string, language string, content string")
+    lines = extract.source_lines(files)
+    assert {(r["file_path"], r["n"]) for r in lines.groupBy("file_path").agg(F.count("*").alias("n")).collect()} == {("a.py", 10), ("b.js", 10), ("c.yaml", 2), ("d.py", 1)}
+    assert {(r["file_path"], r["line"], r["name"]) for r in extract.definitions(lines).where("language != 'yaml'").collect()} == {("a.py", 1, "a"), ("b.js", 3, "u"), ("b.js", 5, "t")}
+    assert {(r["file_path"], r["line"], r["callee"]) for r in extract.calls(lines).collect()} == {("a.py", 7, "b"), ("b.js", 2, "kept"), ("b.js", 4, "seen"), ("b.js", 8, "last")}
+    assert extract.definitions(lines).where("language = 'yaml'").count() == 2
+
+
+def test_a_call_has_its_own_first_string(spark):
+    code = 'send(get("/a"), "/b")\nput(x + "/c")\nlog("m", 1); api.post( \'/d\', y)\nnone(1); none2(2)'
+    lines = extract.source_lines(spark.createDataFrame([("a.py", "python", code)], "file_path string, language string, content string"))
+    assert {(r["line"], r["callee"], r["first_string"]) for r in extract.calls(lines).collect()} == {(1, "send", None), (1, "get", "/a"), (2, "put", "/c"), (3, "log", "m"), (3, "api.post", "/d"), (4, "none", None), (4, "none2", None)}
