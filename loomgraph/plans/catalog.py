@@ -308,6 +308,31 @@ def resolution_ladder(spark, sf_dir):
     return resolve.resolve(refs, symbols, none).select("ref_id", "id", "strategy", "confidence")
 
 
+BOUND_NAMES = "case c_custkey % 6 when 0 then 'm.ring' when 1 then 'w' when 2 then 'm' when 3 then 'w.bolt' when 4 then 'Brand#3.red.ring' else 'gear' end"
+
+
+@query(
+    f"""with symbols as (select p_partkey as id, split_part(p_name, ' ', 2) as name, concat(p_brand, '.', replace(p_name, ' ', '.')) as qn, p_type as label, p_brand as file_path, p_size as start_line from part),
+binds as (select concat('Brand#', n_nationkey) as file_path, 'm' as alias, concat('Brand#', n_nationkey * 7 % 25, '.') as ns from nation union all select concat('Brand#', n_nationkey), 'w', 'x.widget' from nation where n_nationkey % 2 = 0),
+r as (select c_custkey as ref_id, {BOUND_NAMES} as name, concat('Brand#', c_nationkey) as file_path, split_part({BOUND_NAMES}, '.', 1) as head, split_part({BOUND_NAMES}, '.', -1) as last from customer),
+b as (select r.*, ns from r left join binds on binds.file_path = r.file_path and alias = head),
+c as (select ref_id, s.*, case when qn = b.name then 0 when contains(b.name, '.') and contains(qn, ns) then 1 when contains(b.name, '.') and ends_with(qn, b.name) then 3 when s.file_path = b.file_path then 5 else 6 end as step from b join symbols s on s.name = last
+union all select ref_id, s.*, 2 from b join symbols s on s.name = split_part(ns, '.', -1) where not contains(b.name, '.')),
+best as (select *, row_number() over (partition by ref_id order by step, file_path, start_line, qn, id) as place from c)
+select ref_id, id, case step when 0 then 'exact' when 1 then 'import_namespace' when 2 then 'import_alias' when 3 then 'qualified_suffix' when 5 then 'same_file' else 'first_match' end as strategy,
+case step when 0 then 1.0 when 1 then 0.95 when 2 then 0.82 when 3 then 0.92 when 5 then 0.88 else 0.50 end as confidence from best where place = 1"""
+)
+def resolution_bindings(spark, sf_dir):
+    """The ladder where files bind names: a namespace of their own, and an alias of one name."""
+    p = views.table(spark, sf_dir, "part")
+    symbols = p.select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"), F.concat("p_brand", F.lit("."), F.translate("p_name", " ", ".")).alias("qualified_name"), F.col("p_type").alias("label"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("start_line"))
+    own = views.table(spark, sf_dir, "nation").select(F.concat(F.lit("Brand#"), "n_nationkey").alias("file_path"), "n_nationkey")
+    spaces = own.select("file_path", F.lit("m").alias("alias"), F.concat(F.lit("Brand#"), F.col("n_nationkey") * 7 % 25, F.lit(".")).alias("namespace"))
+    names = own.where("n_nationkey % 2 = 0").select("file_path", F.lit("w").alias("alias"), F.lit("x.widget").alias("namespace"))
+    refs = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref_id"), F.expr(BOUND_NAMES).alias("name"), F.concat(F.lit("Brand#"), "c_nationkey").alias("file_path"), F.lit(None).cast("string").alias("preferred_label"))
+    return resolve.resolve(refs, symbols, spaces.unionByName(names)).select("ref_id", "id", "strategy", "confidence")
+
+
 @query("with h as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as target from pages) select page_id, target, count(*) as n from h group by all")
 def html_link_edges(spark, sf_dir):
     p = views.table(spark, sf_dir, "pages")
