@@ -81,15 +81,56 @@ def spans(defined: DataFrame, lines: DataFrame) -> DataFrame:
     return defined.join(sizes, "file_path").withColumn("start_line", F.col("line")).withColumn("end_line", F.coalesce(F.min("line").over(ahead) - 1, F.col("_n"))).drop("line", "_n")
 
 
+#: language -> patterns whose first group is the name that a whole module gets in the file
+MODULE_NAMES: dict[str, list[str]] = {
+    "javascript": [r"^\s*import\s+(?:type\s+)?([A-Za-z_$][\w$]*)\s*(?:,|\bfrom\b)", r"\*\s+as\s+([A-Za-z_$][\w$]*)", r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*require\("],
+    "go": [r"^\s*(?:import\s+)?(?!import\b)([A-Za-z_]\w*)\s+\""],
+    "zig": [r"(?:const|var)\s+([A-Za-z_]\w*)\s*=\s*@import"],
+    "rust": [r"\bas\s+([A-Za-z_]\w*)\s*;"],
+}
+MODULE_NAMES["typescript"] = MODULE_NAMES["tsx"] = MODULE_NAMES["javascript"]
+#: language -> (pattern whose first group lists what is taken out of a module, what stands between the two)
+PARTS_OF: dict[str, tuple[str, str]] = {
+    "python": (r"^\s*from\s+[\w.]+\s+import\s+\(?([^#);]*)", "."),
+    "javascript": (r"^[^{]*\{([^}]*)\}\s*(?:from\b|=\s*require\()", "."),
+    "rust": (r"::\{([^}]*)\}", "::"),
+}
+PARTS_OF["typescript"] = PARTS_OF["tsx"] = PARTS_OF["javascript"]
+
+
 def imports(lines: DataFrame) -> DataFrame:
-    """file_path, line, target and alias of what is imported."""
-    target = F.lit("")
+    """file_path, line, target, alias and linked: each module that a line imports (linked, with the name that
+    the file knows it by, if any), and each name that it takes out of a module (target `module.name`)."""
+    target, parts, between, known = F.lit(""), F.lit(""), F.lit("."), F.lit("")
     for language, pattern in IMPORTS.items():
         both = F.concat(F.regexp_extract("code", pattern, 1), F.regexp_extract("code", pattern, 2))
         target = F.when(F.col("language") == language, both).otherwise(target)
-    named = F.regexp_extract("code", r"\bas\s+([A-Za-z_]\w*)", 1)
-    alias = F.when(named != "", named).otherwise(F.element_at(F.filter(F.split("target", r"[/.:]+"), lambda x: x != ""), -1))
-    return lines.withColumn("target", target).where("target != ''").select("file_path", "line", "target", alias.alias("alias"))
+    for language, (pattern, sign) in PARTS_OF.items():
+        own = F.col("language") == language
+        parts, between = F.when(own, F.regexp_extract("code", pattern, 1)).otherwise(parts), F.when(own, F.lit(sign)).otherwise(between)
+    for language, patterns in MODULE_NAMES.items():
+        known = F.when(F.col("language") == language, F.concat(*(F.regexp_extract("code", x, 1) for x in patterns))).otherwise(known)
+    rows = lines.select("file_path", "line", "language", "code", F.regexp_replace(target, "::$", "").alias("_module"), parts.alias("_parts"), between.alias("_between"), known.alias("_known")).where("_module != ''")
+    last = lambda x: F.coalesce(F.element_at(F.filter(F.split(x, r"[/.:]+"), lambda y: y != ""), -1), F.lit(""))
+
+    def listed(names: Column, prefix: Column, linked: bool) -> Column:
+        """Entries such as `a, b as c, d: e`."""
+        each = F.filter(F.transform(F.split(names, ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^[A-Za-z_$]"))
+
+        def entry(x: Column) -> Column:
+            sides = F.split(x, r"\s+as\s+|\s*:(?!:)\s*")
+            path = F.concat(prefix, sides[0])
+            return F.struct(path.alias("target"), F.when(F.size(sides) > 1, sides[1]).otherwise(last(sides[0])).alias("alias"), F.lit(linked).alias("linked"))
+
+        return F.transform(each, entry)
+
+    plain = (F.col("language") == "python") & F.col("code").rlike(r"^\s*import\s")
+    modules = F.regexp_extract("code", r"^\s*import\s+([^#;]*)", 1)
+    taken = F.col("_parts") != ""
+    name = F.when(F.col("_known") != "", F.col("_known")).when(taken, F.lit("")).otherwise(last(F.col("_module")))
+    whole = F.array(F.struct(F.col("_module").alias("target"), name.alias("alias"), F.lit(True).alias("linked")))
+    found = F.when(plain, listed(modules, F.lit(""), True)).otherwise(F.concat(whole, listed(F.col("_parts"), F.concat("_module", "_between"), False)))
+    return rows.select("file_path", "line", F.explode(found).alias("_b")).select("file_path", "line", "_b.*")
 
 
 def calls(lines: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def edges_of(files: DataFrame, nodes: DataFrame, project: str, lines: DataFrame,
     defines = edge(symbols.join(file_id, "file_path").select(F.col("file_id").alias("source_id"), F.col("id").alias("target_id")), "DEFINES")
 
     bindings = extract.imports(lines)
-    namespace = bindings.select("file_path", "alias", F.col("target").alias("namespace"))
+    namespace = bindings.where("alias != ''").select("file_path", "alias", F.col("target").alias("namespace"))
     calls = owned(extract.calls(lines), symbols)
     refs = lambda rows, name, wanted: rows.withColumn("ref_id", F.xxhash64("file_path", "line", name)).select("ref_id", F.col(name).alias("name"), "file_path", F.lit(wanted).cast("string").alias("preferred_label"), "source_id").dropDuplicates(["ref_id"])
 
@@ -85,7 +85,7 @@ def edges_of(files: DataFrame, nodes: DataFrame, project: str, lines: DataFrame,
     asked = called.join(symbols.select(F.col("id").alias("source_id"), F.col("qualified_name").alias("caller")), "source_id").withColumnRenamed("name", "callee")
     found = resolve.resolve(called, targets, namespace)
     call_edges = edge(resolve.emitted(asked, told, found, targets).where("source_id != target_id"), "CALLS", info)
-    imported = edge(resolved(owned(bindings, symbols), "target", "Module"), "IMPORTS", info)
+    imported = edge(resolved(owned(bindings.where("linked"), symbols), "target", "Module"), "IMPORTS", info)
     used = edge(resolved(owned(extract.usages(lines), symbols), "name", "Class"), "USAGE", info)
     thrown = resolved(owned(extract.throws(lines), symbols), "exception", "Class").join(targets.select(F.col("id").alias("target_id"), F.col("name").alias("exception")), "target_id")
     throw_edges = edge(resolve.throw_edges(thrown), F.col("type"), info)

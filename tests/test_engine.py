@@ -270,3 +270,24 @@ def test_a_call_has_its_own_first_string(spark):
     code = 'send(get("/a"), "/b")\nput(x + "/c")\nlog("m", 1); api.post( \'/d\', y)\nnone(1); none2(2)'
     lines = extract.source_lines(spark.createDataFrame([("a.py", "python", code)], "file_path string, language string, content string"))
     assert {(r["line"], r["callee"], r["first_string"]) for r in extract.calls(lines).collect()} == {(1, "send", None), (1, "get", "/a"), (2, "put", "/c"), (3, "log", "m"), (3, "api.post", "/d"), (4, "none", None), (4, "none2", None)}
+
+
+def test_imports_bind_every_name_of_a_line(spark):
+    code = {
+        "python": "from util import helper as renamed, other\nimport a.b as c, d  # x as y\nfrom . import *\nfrom pkg import (one,",
+        "javascript": "import defaultThing, { helper as renamed, other } from \"./util\";\nimport * as all from 'm'\nconst {p: q} = require('n')\nconst r = require('o')\nimport 'side'",
+        "rust": "use crate::util::{helper as renamed, other};\nuse a::b as c;\nuse d::e;",
+        "go": 'import alias "example.com/tools/runtime"\nimport "fmt"',
+        "java": "import java.util.List;",
+        "zig": 'const std = @import("std");',
+    }
+    lines = extract.source_lines(spark.createDataFrame([(k, k, v) for k, v in code.items()], "file_path string, language string, content string"))
+    got = {k: set() for k in code}
+    for r in extract.imports(lines).collect():
+        got[r["file_path"]].add((r["line"], r["target"], r["alias"], r["linked"]))
+    assert got["python"] == {(1, "util", "", True), (1, "util.helper", "renamed", False), (1, "util.other", "other", False), (2, "a.b", "c", True), (2, "d", "d", True), (3, ".", "", True), (4, "pkg", "", True), (4, "pkg.one", "one", False)}
+    assert got["javascript"] == {(1, "./util", "defaultThing", True), (1, "./util.helper", "renamed", False), (1, "./util.other", "other", False), (2, "m", "all", True), (3, "n", "", True), (3, "n.p", "q", False), (4, "o", "r", True), (5, "side", "side", True)}
+    assert got["rust"] == {(1, "crate::util", "", True), (1, "crate::util::helper", "renamed", False), (1, "crate::util::other", "other", False), (2, "a::b", "c", True), (3, "d::e", "e", True)}
+    assert got["go"] == {(1, "example.com/tools/runtime", "alias", True), (2, "fmt", "fmt", True)}
+    assert got["java"] == {(1, "java.util.List", "List", True)}
+    assert got["zig"] == {(1, "std", "std", True)}
