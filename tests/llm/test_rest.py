@@ -3,6 +3,7 @@ import datetime
 import hashlib
 import ipaddress
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -325,6 +326,38 @@ def test_training_rows_are_bounded(spark, monkeypatch):
     assert [x.tolist() for x in some] == [x.tolist() for x in rows[:7]]
 
 
+def test_training_rows_stay_off_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = spark.createDataFrame([(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 10**6, 15000))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows, y = quality.training_rows(docs, labels, 100)
+    assert sum(x.nbytes for x in rows) > 5 << 20
+    model = quality.fit(rows, y)
+    came, collect = [], type(docs).collect
+
+    def counted(self):
+        found = collect(self)
+        came.append(sum(len(v) if isinstance(v, (bytes, bytearray, str)) else 8 for r in found for v in r))
+        return found
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    scored = quality.scored(docs, labels, 100)
+    assert came and sum(came) < 3 << 20
+    monkeypatch.undo()
+    wanted = model.scores([r.text.encode() for r in docs.orderBy("doc_id").collect()])
+    assert np.allclose([r.score for r in scored.orderBy("doc_id").collect()], wanted, rtol=1e-9)
+
+
+def test_a_fit_takes_less_than_its_rows():
+    rng = np.random.default_rng(9)
+    rows = [np.flatnonzero(rng.random(quality.SIZE) < 0.3).astype(np.int32) for _ in range(150)]
+    tracemalloc.start()
+    quality.fit(rows, np.arange(150) % 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 < sum(x.nbytes for x in rows)
+
+
 def test_quality_of_odd_documents(spark):
     docs = frame(spark, ODD)
     labels = spark.createDataFrame([(6, 1), (7, 1), (10, 1), (11, 0), (14, 0), (16, 0), (None, 1), (12, None), (6, 0)], "doc_id long, quality int")
