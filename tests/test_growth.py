@@ -1,7 +1,9 @@
 """Steps whose cost must not grow faster than what they read."""
 
+import numpy as np
 from test_catalog import same
 
+from loomgraph.llm import ann
 from loomgraph.operators import enrich
 from loomgraph.plans import catalog
 
@@ -31,3 +33,18 @@ def test_flows_of_odd_rows(spark):
     made = enrich.data_flows(edges, spark.createDataFrame([("r",), ("q",), ("r",)], "id string"))
     assert sorted(tuple(r) for r in made.collect()) == [("a", "h", "DATA_FLOWS"), ("b", "a", "DATA_FLOWS")]
     assert enrich.data_flows(edges.where("type = 'CALLS'"), spark.createDataFrame([("r",)], "id string")).count() == 0
+
+
+def test_neighbours_of_queries_unlike_the_table(spark):
+    """Queries that lie between the clusters of the table, where fitted vectors say nothing about them."""
+    rng = np.random.default_rng(1)
+    noise, at = rng.normal(size=(6000, 32)), np.arange(6000)
+    x = (rng.normal(size=(40, 32)) * 3)[rng.integers(40, size=6000)] + noise * 0.3
+    x[at % 20 == 0] = noise[at % 20 == 0] * 3
+    x = x.astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in ann.search(table, table.where("vec_id % 20 = 0"), k=20).collect()}
+    score = x[::20] @ x.T
+    score[np.arange(300), at[::20]] = -np.inf
+    wanted = {(20 * q, int(i)) for q, best in enumerate(np.argsort(-score, axis=1)[:, :20]) for i in best}
+    assert len(wanted & got) >= 0.93 * len(wanted)
