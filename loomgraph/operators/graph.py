@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import match, rules
-from loomgraph.operators.checkpoint import cut
+from loomgraph.operators.checkpoint import cut, dealt
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def _ends(edges: DataFrame, types: list[str] | None) -> DataFrame:
 
 
 def _with_degrees(nodes: DataFrame, ends: DataFrame) -> DataFrame:
-    counts = ends.groupBy("id").agg(F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
+    counts = dealt(ends, "id").groupBy("id").agg(F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
     joined = nodes.join(counts, "id", "left").fillna(0, ["in_degree", "out_degree"])
     return joined.withColumn("total_degree", F.col("in_degree") + F.col("out_degree"))
 

@@ -1,10 +1,12 @@
 """Steps whose cost must not grow faster than what they read."""
 
+import re
+
 import numpy as np
 from test_catalog import same
 
 from loomgraph.llm import ann
-from loomgraph.operators import enrich
+from loomgraph.operators import checkpoint, enrich
 from loomgraph.plans import catalog
 
 
@@ -48,3 +50,18 @@ def test_neighbours_of_queries_unlike_the_table(spark):
     score[np.arange(300), at[::20]] = -np.inf
     wanted = {(20 * q, int(i)) for q, best in enumerate(np.argsort(-score, axis=1)[:, :20]) for i in best}
     assert len(wanted & got) >= 0.93 * len(wanted)
+
+
+def test_degrees_are_counted_in_more_parts_where_there_is_more(spark, monkeypatch):
+    """A task's share of the edges' ends is bounded: twice the bytes, twice the partitions."""
+    counted = []
+    for share in (1 << 14, 1 << 13):
+        monkeypatch.setattr(checkpoint, "SHARE", share)
+        plan = planned(catalog.QUERIES["hotspots"](spark, "/root/testdata/sf0.01"))
+        counted.append([int(n) for n in re.findall(r"hashpartitioning\(\w+#\d+L?(?:, \w+#\d+L?)*, (\d+)\), REPARTITION_BY_NUM", plan)])
+    assert counted[0] and all(n > 4 and 1.8 * n < m for n, m in zip(*counted))
+    assert same(spark, "hotspots", "sf0.01") > 0
+
+
+def test_rows_of_unknown_size_are_dealt_out_by_the_setting(spark):
+    assert checkpoint.dealt(spark.createDataFrame([(1,), (2,)], "id long"), "id").count() == 2
