@@ -76,35 +76,56 @@ def neighbours(edges: DataFrame, nodes: DataFrame, limit: int, out: bool = True)
     return first.withColumn("place", place).where(F.col("place") <= limit).select("id", "neighbour", "place")
 
 
-def _oriented(edges: DataFrame, direction: str, types: list[str] | None) -> DataFrame:
-    used = edges.where(F.col("type").isin(types)) if types else edges
-    ahead = used.select(F.col("source_id").alias("near"), F.col("target_id").alias("far"), F.col("id").alias("edge"))
-    back = used.select(F.col("target_id").alias("near"), F.col("source_id").alias("far"), F.col("id").alias("edge"))
+#: Nodes of a level at most that are sent to every task, in place of moving the steps to them.
+FEW = 200_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Stored rows (an id and a few numbers), sent to every task where they are few."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def _oriented(edges: DataFrame, direction: str) -> DataFrame:
+    ahead = edges.select(F.col("source_id").alias("near"), F.col("target_id").alias("far"))
+    back = edges.select(F.col("target_id").alias("near"), F.col("source_id").alias("far"))
     return {"out": ahead, "in": back}[direction] if direction != "both" else ahead.unionByName(back)
 
 
-def distances(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None, cap: int | None = None) -> DataFrame:
-    """id and dist of all nodes within `depth` of any start (a column id), level by level.
+class _Steps:
+    """near and far of all steps but those from a node to itself.
 
-    With a cap, no level is begun once more nodes than that are known. The steps are written once, dealt
-    out by where they begin, so a level joins its new nodes to them without moving them again.
+    The steps from few nodes are filtered where the edges are read, below what makes parallel rows one edge,
+    so nothing is moved or written but what is found. Once a level has many nodes, the steps are written,
+    dealt out by where they begin, and later levels are joined to them without moving them again.
     """
-    return _walked(_steps(edges, direction, types), starts, depth, cap)
 
+    def __init__(self, edges: DataFrame, direction: str):
+        self.all, self.written = _oriented(edges, direction).where("near != far"), None
 
-def _steps(edges: DataFrame, direction: str, types: list[str] | None) -> DataFrame:
-    """near, far and edge of all steps in the shared folder, dealt out by near."""
-    return cut(_oriented(edges, direction, types).repartition("near"))
+    def of(self, front: DataFrame) -> DataFrame:
+        """The steps that begin at the ids of front, which is stored."""
+        few, ids = front.count() <= FEW, front.select(F.col("id").alias("near"))
+        if not few and self.written is None:
+            self.written = cut(dealt(self.all, "near"))
+        return (self.all if self.written is None else self.written).join(F.broadcast(ids) if few else ids, "near", "left_semi")
 
 
-def _walked(oriented: DataFrame, starts: DataFrame, depth: int, cap: int | None) -> DataFrame:
-    steps = oriented.select("near", "far").where("near != far")
+def _of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
+    return edges.where(F.col("type").isin(types)) if types else edges
+
+
+def distances(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """id and dist of all nodes within `depth` of any start (a column id), level by level.
+
+    With a cap, no level is begun once more nodes than that are known.
+    """
+    steps = _Steps(_of_types(edges, types), direction)
     known = front = cut(starts.select("id").distinct().withColumn("dist", F.lit(0)))
     for level in range(1, depth + 1):
         if cap is not None and known.count() > cap:
             break
-        found = steps.join(front.select(F.col("id").alias("near")), "near").select(F.col("far").alias("id")).distinct()
-        front = cut(found.join(known, "id", "left_anti").withColumn("dist", F.lit(level)))
+        found = steps.of(front).select(F.col("far").alias("id")).distinct()
+        front = cut(found.join(_small(known.select("id")), "id", "left_anti").withColumn("dist", F.lit(level)))
         if front.isEmpty():
             break
         known = known.unionByName(front)
@@ -113,9 +134,7 @@ def _walked(oriented: DataFrame, starts: DataFrame, depth: int, cap: int | None)
 
 def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", types: list[str] | None = None, cap: int | None = None) -> DataFrame:
     """Each edge once, with the depth it is first met at in a breadth-first walk."""
-    oriented = _steps(edges, direction, types)
-    dist = _walked(oriented, starts, depth, cap)
-    reach = dist
+    dist = reach = distances(edges, starts, depth, direction, types, cap)
     if cap is not None:
         per = dist.groupBy("dist").agg(F.count(F.lit(1)).alias("n")).collect()  # at most depth + 1 rows
         total, last = 0, -1
@@ -125,9 +144,17 @@ def traverse(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "
             if total > cap:
                 break
         reach = dist.where(F.col("dist") < max(last, 0)) if total > cap else dist
-    seen = oriented.join(reach.withColumnRenamed("id", "near"), "near")
-    first = seen.groupBy("edge").agg((F.min("dist") + 1).alias("depth")).where(F.col("depth") <= depth)
-    return edges.join(first.withColumnRenamed("edge", "id"), "id")
+    used, reach = _of_types(edges, types), reach.where(F.col("dist") < depth)
+    ids, ends = _small(reach.select("id")), {"out": ["source_id"], "in": ["target_id"], "both": ["source_id", "target_id"]}[direction]
+    at = lambda end, into: reach.select(F.col("id").alias(end), F.col("dist").alias(into))
+    met = used.join(ids.withColumnRenamed("id", ends[0]), ends[0], "left_semi").join(_small(at(ends[0], "_near")), ends[0])
+    if direction != "both":
+        return met.withColumn("depth", F.col("_near") + 1).select(*used.columns, "depth")
+    other = _small(at("target_id", "_far"))
+    met = met.join(other, "target_id", "left").withColumn("depth", F.least("_near", "_far") + 1)
+    late = used.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
+    late = late.join(other, "target_id").withColumn("depth", F.col("_far") + 1)
+    return met.select(*used.columns, "depth").unionByName(late.select(*used.columns, "depth"))
 
 
 MODES = {
@@ -144,7 +171,7 @@ def trace(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 6,
     for way in ("out", "in") if direction == "both" else (direction,):
         parts.append(distances(edges, starts, depth, way, types, cap).where("dist > 0").withColumn("way", F.lit(way)))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = found.join(nodes, "id").withColumn("hop", F.col("dist")).withColumn("risk", rules.hop_risk(F.col("dist")))
+    out = nodes.join(_small(found), "id").withColumn("hop", F.col("dist")).withColumn("risk", rules.hop_risk(F.col("dist")))
     return out if include_tests else out.where(~rules.is_test_file(F.coalesce("file_path", F.lit(""))))
 
 
@@ -153,18 +180,19 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: in
 
     Each node carries its two nearest distinct seeds, which is enough to tell its nearest other seed.
     """
-    steps = _steps(edges, "both", None).select("near", "far").where("near != far")
+    steps = _Steps(edges, "both")
     two = Window.partitionBy("id").orderBy("hop", "seed")
     near = cut(seeds.select("id").distinct().select("id", F.col("id").alias("seed"), F.lit(0).alias("hop")))
     for level in range(1, depth + 1):
         front = near.where(F.col("hop") == level - 1)
         if front.isEmpty():
             break
-        reached = front.join(steps, F.col("id") == F.col("near")).select(F.col("far").alias("id"), "seed", F.lit(level).alias("hop"))
+        met = steps.of(front.select("id").distinct())
+        reached = met.join(_small(front.select("id", "seed")), F.col("id") == F.col("near")).select(F.col("far").alias("id"), "seed", F.lit(level).alias("hop"))
         merged = near.unionByName(reached).groupBy("id", "seed").agg(F.min("hop").alias("hop"))
         near = cut(merged.withColumn("_place", F.row_number().over(two)).where("_place <= 2").drop("_place"))
     best = near.where("id != seed").groupBy("id").agg(F.min("hop").alias("hop"))
-    return nodes.join(best, "id").where(~F.col("label").isin(*hidden)).withColumn("risk", rules.impact_risk(F.col("hop")))
+    return nodes.join(_small(best), "id").where(~F.col("label").isin(*hidden)).withColumn("risk", rules.impact_risk(F.col("hop")))
 
 
 def upserted(nodes: DataFrame, order: Column) -> DataFrame:

@@ -3,11 +3,12 @@
 import re
 
 import numpy as np
+import pytest
 from test_catalog import same
 
 from loomgraph.llm import ann
-from loomgraph.operators import checkpoint, enrich
-from loomgraph.plans import catalog
+from loomgraph.operators import checkpoint, enrich, graph
+from loomgraph.plans import catalog, views
 
 
 def planned(made):
@@ -65,3 +66,37 @@ def test_degrees_are_counted_in_more_parts_where_there_is_more(spark, monkeypatc
 
 def test_rows_of_unknown_size_are_dealt_out_by_the_setting(spark):
     assert checkpoint.dealt(spark.createDataFrame([(1,), (2,)], "id long"), "id").count() == 2
+
+
+WALKS = ["bfs_out_depth3", "bfs_both_capped", "trace_risk_labels", "blast_radius"]
+
+
+@pytest.mark.parametrize("name", WALKS)
+def test_walks_store_what_they_find_alone(spark, monkeypatch, name):
+    stored = []
+
+    def cut(df):
+        stored.append(checkpoint.cut(df))
+        return stored[-1]
+
+    monkeypatch.setattr(graph, "cut", cut)
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert stored and max(df.count() for df in stored) < 0.3 * views.edges(spark, "/root/testdata/sf0.01").count()
+
+
+@pytest.mark.parametrize("name", WALKS)
+def test_walks_with_many_nodes_in_a_level(spark, monkeypatch, name):
+    monkeypatch.setattr(graph, "FEW", 2)
+    assert same(spark, name, "sf0.01") > 0
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_edges_of_a_walk_both_ways(spark, monkeypatch, few):
+    """A loop, a cycle, and an edge whose target is nearer than its source."""
+    monkeypatch.setattr(graph, "FEW", few)
+    rows = [(1, 1, 2), (2, 3, 1), (3, 3, 2), (4, 4, 3), (5, 5, 4), (6, 1, 1), (7, 8, 9)]
+    edges = spark.createDataFrame([(*r, "T") for r in rows], "id long, source_id long, target_id long, type string")
+    start = spark.createDataFrame([(1,)], "id long")
+    walked = lambda way: {r.id: r.depth for r in graph.traverse(edges, start, 2, way).collect()}
+    assert walked("both") == {1: 1, 2: 1, 3: 2, 4: 2, 6: 1}
+    assert walked("out") == {1: 1, 6: 1} and walked("in") == {2: 1, 4: 2, 6: 1}
