@@ -1,13 +1,14 @@
 """Steps whose cost must not grow faster than what they read."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from test_catalog import same
 
 from loomgraph.llm import ann
-from loomgraph.operators import checkpoint, enrich, graph
+from loomgraph.operators import checkpoint, enrich, graph, similarity
 from loomgraph.plans import catalog, views
 
 
@@ -100,3 +101,34 @@ def test_edges_of_a_walk_both_ways(spark, monkeypatch, few):
     walked = lambda way: {r.id: r.depth for r in graph.traverse(edges, start, 2, way).collect()}
     assert walked("both") == {1: 1, 2: 1, 3: 2, 4: 2, 6: 1}
     assert walked("out") == {1: 1, 6: 1} and walked("in") == {2: 1, 4: 2, 6: 1}
+
+
+def test_similar_pairs_are_not_moved(spark):
+    """Pairs of signatures are compared where they meet, not gathered to be told apart."""
+    assert "hashpartitioning(a#" not in planned(catalog.QUERIES["minhash_near_dups"](spark, "/root/testdata/sf0.01"))
+
+
+@pytest.mark.parametrize("hot", [None, 12])
+def test_similar_pairs_of_many_blocks(spark, monkeypatch, hot):
+    """Each pair once, whatever bands it shares; with a limit, by the buckets within it alone."""
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    sigs = (1 << 31) + 10 - rng.integers(0, 5, size=(30, 8))[rng.integers(30, size=150)] * rng.integers(1, 1 << 28, size=8)
+    sigs[rng.random(sigs.shape) < 0.15] = 7
+    made = spark.createDataFrame([(1000 - i, s.tolist()) for i, s in enumerate(sigs)], "id long, sig array<long>")
+    got = sorted(tuple(r) for r in similarity.similar_pairs(made, "id", 4, 0.5, hot).collect())
+    rows, wanted = {1000 - i: tuple(s) for i, s in enumerate(sigs.tolist())}, []
+    least = {}
+    for i in sorted(rows):
+        if hot is None and least.setdefault(rows[i], i) != i:
+            wanted.append((least[rows[i]], i, 1.0))
+    ids = sorted(least.values()) if hot is None else sorted(rows)
+    full = Counter((k, rows[i][2 * k : 2 * k + 2]) for i in ids for k in range(4))
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            shared = [k for k in range(4) if rows[i][2 * k : 2 * k + 2] == rows[j][2 * k : 2 * k + 2] and full[k, rows[i][2 * k : 2 * k + 2]] <= (hot or 1000)]
+            score = sum(x == y for x, y in zip(rows[i], rows[j])) / 8
+            if shared and score >= 0.5:
+                wanted.append((i, j, score))
+    assert got == sorted(wanted) and len(got) > 50
+    assert hot is None or max(full.values()) > hot
